@@ -80,14 +80,15 @@ def _short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Membership bitmap of ``xxhash64(column)``, 2**BITMAP_BITS bits: no member is missed, a few others pass.
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Membership bitmap of the 64-bit hashes in ``column``, 2**BITMAP_BITS bits: no member is missed, a few others pass.
 
     The bits are or-ed on the executors; at most 2**(BITMAP_BITS - 6) words reach the driver, whatever the input.
     """
-    h = F.xxhash64(F.col(column))
+    h = F.col(column)
     words = (
-        ids.select((F.shiftrightunsigned(h, 6).bitwiseAND((1 << (BITMAP_BITS - 6)) - 1)).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))").alias("b"))
+        hashes.where(h.isNotNull())
+        .select(F.shiftrightunsigned(h, 6).bitwiseAND((1 << (BITMAP_BITS - 6)) - 1).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
@@ -97,12 +98,8 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return bits
 
 
-def in_bitmap(bits_of: str, bits: np.ndarray):
-    """A function from an array of ``xxhash64`` values (column ``bits_of``) to a mask of possible members."""
-
-    def test(hashes: np.ndarray) -> np.ndarray:
-        h = hashes.view(np.uint64)
-        w = (h >> np.uint64(6)) & np.uint64(len(bits) - 1)
-        return (bits[w.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) != 0
-
-    return test
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Mask of the hashes that may be members."""
+    h = hashes.view(np.uint64)
+    w = ((h >> np.uint64(6)) & np.uint64(len(bits) - 1)).astype(np.int64)
+    return (bits[w] >> (h & np.uint64(63))) & np.uint64(1) != 0

@@ -13,8 +13,10 @@ import pyarrow as pa
 
 #: Bytes handled at once; the kernels need about 60 bytes of memory for each. A longer text is a chunk by itself.
 CHUNK = 1 << 20
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Parts words at all ASCII bytes but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -92,15 +94,16 @@ def chunks(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
         at = to
 
 
-def words(column: pa.Array) -> Iterator[Words]:
+def words(column: pa.Array, space: np.ndarray = SPACE) -> Iterator[Words]:
     """Words of a string column, chunk by chunk."""
     for rows, raw, offsets in chunks(column):
-        yield words_of(rows, raw, offsets)
+        yield words_of(rows, raw, offsets, space)
 
 
-def words_of(rows: range, raw: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(rows: range, raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Words of the texts ``raw[offsets[i]:offsets[i + 1]]``; ``space`` says which bytes part words."""
     data = _LOWER[raw]
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     n = len(raw)
     before = np.zeros(n, bool)
     before[1:] = solid[:-1]
@@ -111,11 +114,16 @@ def words_of(rows: range, raw: np.ndarray, offsets: np.ndarray) -> Words:
     inner = edges[(edges > 0) & (edges <= n)] - 1
     after[inner] = False
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    return Words(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets), span_hashes(data, starts, ends))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs starts..ends-1, equal for equal runs anywhere."""
+    n = len(data)
     power, inverse = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(w: Words, n: int = 5) -> Iterator[np.ndarray]:
@@ -135,3 +143,24 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+
+
+class Spans:
+    """Hashes of arbitrary runs of a chunk's words in constant time each, and of runs with one word left out."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.power, self.inverse = _power(len(hashes) + 1)
+        self.total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * self.power[: len(hashes)], out=self.total[1:])
+
+    def raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.total[b] - self.total[a]) * self.inverse[a]
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of words a..b-1; equal for equal word sequences anywhere."""
+        return mix(self.raw(a, b) + (b - a).astype(np.uint64) * _STEP)
+
+    def without(self, a: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """``of`` the sequence a..b-1 less word j."""
+        left_out = self.raw(a, j) + self.raw(j + 1, b) * self.power[j - a]
+        return mix(left_out + (b - a - 1).astype(np.uint64) * _STEP)
