@@ -24,58 +24,123 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import arrow_stream
+from .kernels import CHUNK, span_hashes
 
 CAPACITY = 2048
 END_ID = 1
 PIECE = 512
 BLOCK = 96
-MEMO = 200_000
+MEMO = 1_000_000
 
 
 class Encoder:
-    """Ids of the tokenizer in ``file``. Words of plain Latin texts are looked up in a memo of at most MEMO words: the
-    tokenizer encodes each of them by itself, so the ids are the same; all other texts go through it whole."""
+    """Ids of the tokenizer in ``file``.
 
-    # The letters and digits below U+0180, and the tokenizer's split pattern over them.
-    _LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ž"
-    _DIGIT = "0-9²³¹¼-¾"
+    The tokenizer splits a text into words and encodes each by itself, so words can be remembered: plain Latin texts
+    are split and hashed with numpy, known words are looked up by their 64-bit hash, and only new ones are encoded. All
+    other texts, and those with apostrophes or special tokens, go through the tokenizer whole. The memo holds at most
+    MEMO words.
+    """
+
+    # The characters under U+0180 that the tokenizer's split takes for letters and for digits.
+    _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ž"
+    _DIGITS = "0-9²³¹¼-¾"
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(file)
-        self.memo: dict[str, bytes] = {}
-        self.plain = re.compile("[\t-\r\x20-\x7e¡-įı-ňŊ-ž–—‘-„†-•…€]*")
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self._LETTER}]+|[{self._DIGIT}]|[^\\s{self._LETTER}{self._DIGIT}]+")
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.plain = re.compile("[\t-\r\x20-&(-\x7e¡-įı-ňŊ-ž–—‘-„†-•…€]*")
+        # classes: 0 space, 1 letter, 2 digit, 3 other; of two-byte characters by both bytes
+        kind = lambda c: 1 if re.match(f"[{self._LETTERS}]", c) else 2 if re.match(f"[{self._DIGITS}]", c) else 0 if c in "\t\n\x0b\f\r " else 3
+        self.kind = np.array([kind(chr(i)) if i < 128 else 3 for i in range(256)], np.uint8)
+        self.pairs = np.array([kind(chr(0x80 + i)) for i in range(0x180 - 0x80)], np.uint8)  # U+0080...
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, "<u4")]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
         out: list = [None] * len(texts)
-        rest, parts = [], {}
+        fast = []
         for i, text in enumerate(texts):
             if self.plain.fullmatch(text) and "<|" not in text:
-                parts[i] = self.split.findall(text.lower())
+                fast.append(i)
             else:
-                rest.append(i)
-        if parts:
-            self._learn(set().union(*parts.values()))
-            get = self.memo.__getitem__
-            for i, found in parts.items():
-                out[i] = np.frombuffer(b"".join(map(get, found)), "<u4")
-        for i in rest:
-            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4")
+                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        at = 0
+        while at < len(fast):
+            to, size = at, 0
+            while to < len(fast) and (to == at or size < CHUNK):
+                size += len(texts[fast[to]])
+                to += 1
+            for i, ids in zip(fast[at:to], self._plain([texts[i].lower().encode() for i in fast[at:to]]), strict=True):
+                out[i] = ids
+            at = to
         return out
 
-    def _learn(self, seen: set[str]) -> None:
-        new = seen - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = seen
-        listed = list(new)
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            for word, got in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(got.ids, "<u4").tobytes()
+    def _plain(self, raws: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+        kind = self.kind[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+        if len(lead):
+            code = ((data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)) - 0x80
+            kind[lead] = kind[lead + 1] = self.pairs[code]
+        begins = np.ones(len(data), bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins |= (kind == 2) & ((data & 0xC0) != 0x80)
+        edges = np.flatnonzero(begins)
+        starts, ends = edges, np.append(edges[1:], len(data))
+        solid = kind[starts] != 0
+        starts, ends = starts[solid], ends[solid]
+        hashes = span_hashes(data, starts, ends)
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > MEMO:
+            self._forget()
+        place = np.searchsorted(self.known, distinct)
+        new = (self.known[np.minimum(place, len(self.known) - 1)] != distinct) if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+            self._learn(distinct[new], place[new], words)
+            place = np.searchsorted(self.known, distinct)
+        if len(self.pool) > 1:
+            self.pool = [np.concatenate(self.pool)]
+        at, size = self.at[place][inverse], self.size[place][inverse]
+        done = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[0][np.repeat(at - done[:-1], size) + np.arange(done[-1])]
+        cuts = done[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, hashes: np.ndarray, place: np.ndarray, words: list[bytes]) -> None:
+        """Encodes new words many to a text; the last id of each is one that ends a word."""
+        ids = np.array(self.whole.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            each = [np.array(x.ids, "<u4") for x in self.whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        held = sum(map(len, self.pool))
+        starts = np.concatenate(([0], ends[:-1]))
+        self.pool.append(ids)
+        self.known = np.insert(self.known, place, hashes)
+        self.at = np.insert(self.at, place, starts + held)
+        self.size = np.insert(self.size, place, ends - starts)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(file: str) -> Encoder:
+    """The process's encoder, so that its memo serves all tasks of a worker."""
+    if file not in _encoders:
+        _encoders[file] = Encoder(file)
+    return _encoders[file]
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -147,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         held: dict[int, np.ndarray] = {}  # what is left of the texts of the block, by number
         keys: dict[int, tuple] = {}
@@ -189,8 +254,8 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
             id_type = batch.schema.field(0).type
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids_of), 64):
-                for key, ids in zip(ids_of[at : at + 64], encode([t or "" for t in texts[at : at + 64].to_pylist()]), strict=True):
+            for at in range(0, len(ids_of), 256):
+                for key, ids in zip(ids_of[at : at + 256], encode([t or "" for t in texts[at : at + 256].to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     full = len(ids) // capacity * capacity
                     keys[number], held[number] = (key, 0, len(ids)), ids
