@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,11 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
-    hashes: np.ndarray
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Of each word."""
+        return span_hashes(self.data, self.starts, self.ends)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words inside one text, and for each text where its runs begin (like ``first``)."""
@@ -114,7 +119,7 @@ def words_of(rows: range, raw: np.ndarray, offsets: np.ndarray, space: np.ndarra
     inner = edges[(edges > 0) & (edges <= n)] - 1
     after[inner] = False
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    return Words(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets), span_hashes(data, starts, ends))
+    return Words(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

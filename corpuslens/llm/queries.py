@@ -20,6 +20,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .leaks import find_leaks
 
@@ -27,6 +41,12 @@ def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -45,6 +65,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .archives import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import quantise_log, quantise_name, shard_rows
 
@@ -73,14 +99,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_urls": op2_urls,
     "op3_leaks": op3_leaks,
+    "op4_neighbours": op4_neighbours,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
+    "op8_archives": op8_archives,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {
+    "op8_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, s, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(s, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM q
+""",
     "op5_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
