@@ -1,4 +1,5 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .audit import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
