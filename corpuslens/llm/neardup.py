@@ -1,13 +1,15 @@
 """Operator 5: MinHash near-duplicates with odd sketches.
 
-1. Every text becomes its set of word shingles (64-bit hashes), 128 MinHash samples, 32 band keys of 4 samples, and an
-   odd sketch: the samples folded into 256 parity bits. Texts of equal sets are one class with its smallest id.
+1. Every text becomes its set of word shingles (64-bit hashes), 256 MinHash samples, 32 band keys of 4 samples, and an
+   odd sketch: the samples folded into 512 parity bits. Texts of equal sets are one class with its smallest id.
 2. Classes that share a band key are candidates. The XOR of two odd sketches has a population count that estimates the
    similarity; hopeless pairs are dropped, the margin is more than four standard deviations.
-3. First only stars are verified: each class against the leader of its buckets that looks closest. That joins nearly
-   all members of a large group in as many comparisons as it has members. Then pairs of one bucket that are still in
-   different components are compared by their sketches, tile by tile, and those that may be similar are verified.
-   A pair inside one component needs no check, so no group is expanded into all its pairs and no link is lost.
+3. First only stars are verified: each class against the leader of its buckets that looks closest. Then, for ROUNDS
+   rounds at most, classes of one bucket that are still in different components are compared by their sketches, tile
+   by tile, and each is verified against the closest of them. That joins nearly all members of a large group in a few
+   comparisons a member. What is left - pairs of one bucket, still in different components, that may be similar by a
+   finer odd sketch of 1024 samples and 2048 bits too - is verified whole. A pair inside one component needs no check,
+   so no group is expanded into all its pairs and no link is lost.
 4. Verification counts the intersection of the full sets, which are built again for these documents alone.
 
 A pair at similarity 0.75 shares no band with probability 5e-6. The method is exact otherwise.
@@ -15,7 +17,7 @@ A pair at similarity 0.75 shares no band with probability 5e-6. The method is ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,47 +28,50 @@ from .common import arrow_map, arrow_stream, bitmap, in_bitmap, stage
 from .graph import components
 from .kernels import lists, mix, shingle_sets, words
 
-SAMPLES, BANDS, BITS = 128, 32, 256
-#: Estimates under this are dropped unverified; see SLACK in ``_worst``.
-SLACK = 0.3
+SAMPLES, BANDS, BITS = 256, 32, 512
+ROWS = 4
+ROUNDS = 3
+#: Estimates that are lower than the threshold by more than this are dropped: over four standard deviations.
+SLACK, FINE_SLACK = 0.2, 0.1
+FINE_SAMPLES, FINE_BITS = 1024, 2048
 TILE = 2048
 _rng = np.random.default_rng(20240501)
-_A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+_A = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint32)
 _LONGS = [f"s{i}" for i in range(BITS // 64)]
 
 
-def _samples(hashes: np.ndarray) -> np.ndarray:
+def _samples(hashes: np.ndarray, count: int = SAMPLES) -> np.ndarray:
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):
-        part = x[None, at : at + 4096] * _A[:, None]
-        part ^= _B[:, None]
+    least = np.full(count, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 2048):
+        part = x[None, at : at + 2048] * _A[:count, None]
+        part ^= _B[:count, None]
         np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
 def _bands(samples: np.ndarray) -> np.ndarray:
     """(texts, BANDS) keys."""
-    rows = SAMPLES // BANDS
-    s = samples.reshape(len(samples), BANDS, rows).astype(np.uint64)
+    s = samples[:, : BANDS * ROWS].reshape(len(samples), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), s.shape[:2]).copy()
-    for k in range(rows):
+    for k in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
     return key
 
 
-def _sketches(samples: np.ndarray) -> np.ndarray:
-    """(texts, BITS // 64) words of parity bits."""
-    bit = (mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(40))) % np.uint64(BITS)).astype(np.int64)
-    flat = np.bincount((bit + np.arange(len(samples))[:, None] * BITS).ravel(), minlength=len(samples) * BITS).astype(np.uint64) & np.uint64(1)
-    return (flat.reshape(len(samples), BITS // 64, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+def _sketches(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """(texts, bits // 64) words of parity bits."""
+    number = np.arange(samples.shape[1], dtype=np.uint64) << np.uint64(40)
+    bit = (mix(samples.astype(np.uint64) + number) % np.uint64(bits)).astype(np.int64)
+    flat = np.bincount((bit + np.arange(len(samples))[:, None] * bits).ravel(), minlength=len(samples) * bits).astype(np.uint64) & np.uint64(1)
+    return (flat.reshape(len(samples), bits // 64, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def _worst(similarity: float) -> int:
-    """The largest XOR population count that is kept: that of a similarity lower by SLACK."""
-    differ = 2 * SAMPLES * (1 - max(similarity - SLACK, 0))
-    return int(np.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** differ)))
+def _worst(similarity: float, samples: int = SAMPLES, bits: int = BITS, slack: float = SLACK) -> int:
+    """The largest XOR population count that is kept: that of a similarity lower by ``slack``."""
+    differ = 2 * samples * (1 - max(similarity - slack, 0))
+    return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** differ)))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -93,8 +98,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     return arrow_map(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), run, f"id long, n_shingles long, f1 long, f2 long, keys array<long>, {longs}")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the documents whose ids are in ``wanted`` (and of a few others)."""
+def _again(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame, name: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, name): ``of`` the shingle sets of the documents whose ids are in ``wanted`` (and of a few others)."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("id").alias("h")), "h"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -102,60 +107,139 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame
         batch = batch.filter(pa.array(mask))
         at = 0
         for w in words(batch.column(1)):
-            found = list(shingle_sets(w, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), lists(found, pa.int64())], ["id", "set"])
+            found = [of(s) for s in shingle_sets(w, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), lists(found, pa.int64())], ["id", name])
             at += len(found)
 
     ids = docs[id_col].cast("long")
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text"), F.xxhash64(ids).alias("h")), run, "id long, set array<long>")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text"), F.xxhash64(ids).alias("h")), run, f"id long, {name} array<long>")
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, n: int, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sets(docs, id_col, text_col, n, wanted)
+    sets = _again(docs, id_col, text_col, n, wanted, "set", lambda s: s)
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = joined.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return counted.where((F.col("i") > 0) & (F.lit(den) * F.col("i") >= F.lit(num) * (F.col("t") - F.col("i")))).select("a", "b").distinct()
 
 
-def _cross_pairs(rows: DataFrame, worst: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different components whose sketches allow the similarity.
+def _closest_pairs(rows: DataFrame, worst: int, num: int, den: int) -> DataFrame:
+    """(a, b): for each light row a the closest row of one of its buckets and of another component, if its sketch allows the similarity."""
 
-    ``rows``: key, tile, light, id, comp, n, sketch. Of a tile all base rows (light = false, at most some TILE) are
-    held; light rows stream by in batches, so memory is bounded however large the bucket.
+    def compare(light: _Rows, base: _Rows) -> tuple[np.ndarray, ...]:
+        z, may = light.against(base, worst, num, den)
+        z = np.where(may, z, np.int16(32767))
+        x = np.flatnonzero(may.any(axis=1))
+        y = z[x].argmin(axis=1)
+        return light.ids[x], base.ids[y], z[x, y].astype(np.int32)
+
+    met = _tilewise(rows, compare, "a long, b long, z int")
+    return met.groupBy("a").agg(F.min(F.struct("z", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
+def _all_pairs(rows: DataFrame, worst: int, num: int, den: int) -> DataFrame:
+    """(a, b): all pairs of light rows with rows of one of their buckets and of another component, if both sketches allow the similarity.
+
+    ``rows`` have the band keys and the fine sketches too. A pair is given in the first band that it shares alone.
     """
+    fine = _worst(num / den, FINE_SAMPLES, FINE_BITS, FINE_SLACK)
+
+    def compare(light: _Rows, base: _Rows) -> tuple[np.ndarray, ...]:
+        x, y = np.nonzero(light.against(base, worst, num, den)[1])
+        kept = []
+        for at in range(0, len(x), 4096):
+            p, q = x[at : at + 4096], y[at : at + 4096]
+            band = (light.keys[p] == base.keys[q]).argmax(axis=1)
+            ok = light.keys[p, band] == light.key
+            # of two light rows each meets the other: one time is enough
+            ok &= (base.comp[q] == base.main[q]) | (light.ids[p] > base.ids[q])
+            p, q = p[ok], q[ok]
+            z = np.bitwise_count(light.fine[p] ^ base.fine[q]).sum(axis=1, dtype=np.int32)
+            kept.append((p[z <= fine], q[z <= fine]))
+        x, y = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (x, y)
+        return light.ids[x], base.ids[y]
+
+    return _tilewise(rows, compare, "a long, b long")
+
+
+class _Rows:
+    """Rows of one bucket and tile as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+        self.key = np.int64(batch.column("key")[0].as_py())
+        self.ids, self.comp, self.main, self.size = column("id"), column("comp"), column("main"), column("n_shingles")
+        self.sketch = np.stack([column(s).view(np.uint64) for s in _LONGS], axis=1)
+        if "fine" in batch.schema.names:
+            self.keys, self.fine = (batch.column(c).flatten().to_numpy().reshape(len(self.ids), -1) for c in ("keys", "fine"))
+            self.fine = self.fine.view(np.uint64)
+
+    @classmethod
+    def joined(cls, parts: list[_Rows]) -> _Rows:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls.__new__(cls)
+        out.key = parts[0].key
+        for name in vars(parts[0]):
+            if name != "key":
+                setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+        return out
+
+    def against(self, base: _Rows, worst: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Population counts of all XORs, and which pairs are of different components and may be similar."""
+        z = np.zeros((len(self.ids), len(base.ids)), np.int16)
+        for i in range(len(_LONGS)):
+            z += np.bitwise_count(self.sketch[:, None, i] ^ base.sketch[None, :, i])
+        low, high = np.minimum(self.size[:, None], base.size[None, :]), np.maximum(self.size[:, None], base.size[None, :])
+        return z, (z <= worst) & (self.comp[:, None] != base.comp[None, :]) & (den * low >= num * high)
+
+
+def _tilewise(rows: DataFrame, compare: Callable[[_Rows, _Rows], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
+    """``compare`` of light rows with the base rows of their tile.
+
+    Of a tile all base rows (light = false, some TILE of them) are held; light rows stream by in batches, so memory is
+    bounded however large the bucket.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, base = None, []
-        ready = None
+        group, held, base = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, tile, light, ids, comp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            sketch = np.stack([batch.column(6 + i).to_numpy().view(np.uint64) for i in range(len(_LONGS))], axis=1)
+            key, tile, light = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tile", "light"))
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(tile) != 0) | (np.diff(light.astype(np.int8)) != 0)) + 1
-            for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(key)])), strict=True):
-                now = (key[a], tile[a])
-                if now != group:
-                    group, base, ready = now, [], None
-                part = (ids[a:b], comp[a:b], size[a:b], sketch[a:b])
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                if (key[a], tile[a]) != group:
+                    group, held, base = (key[a], tile[a]), [], None
+                part = _Rows(batch.slice(a, b - a))
                 if not light[a]:
-                    base.append(part)
-                    ready = None
-                    continue
-                if ready is None:
-                    ready = [np.concatenate(c) for c in zip(*base, strict=True)] if base else None
-                if ready is None:
-                    continue
-                z = sum(np.bitwise_count(part[3][:, None, i] ^ ready[3][None, :, i]).astype(np.int32) for i in range(len(_LONGS)))
-                low, high = np.minimum(part[2][:, None], ready[2][None, :]), np.maximum(part[2][:, None], ready[2][None, :])
-                x, y = np.nonzero((z <= worst) & (part[1][:, None] != ready[1][None, :]) & (den * low >= num * high))
-                p, q = part[0][x], ready[0][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
-
-    return arrow_stream(rows, run, "a long, b long").distinct()
+                    held.append(part)
+                    base = None
+                elif held:
+                    base = base or _Rows.joined(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(part, base)], names)
+
+    return arrow_stream(rows, run, schema)
+
+
+def _mixed(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, id, comp, main, tiles): members of buckets of several components; main is the largest of these."""
+    placed = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    by_comp = placed.groupBy("key", "comp").count()
+    mixed = by_comp.groupBy("key").agg(F.max_by("comp", "count").alias("main"), F.sum("count").alias("members"), F.count("*").alias("comps")).where("comps > 1")
+    return placed.join(mixed.select("key", "main", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")), "key")
+
+
+def _tiles(mixed: DataFrame, thin: DataFrame) -> DataFrame:
+    """All members once by tile, and those outside the bucket's main component for each tile."""
+    rows = mixed.join(thin, "id")
+    columns = ["key", "tile", "light", "comp", "main", *thin.columns]
+    base = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("light", F.lit(False)).select(columns)
+    light = rows.where("comp <> main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("light", F.lit(True)).select(columns)
+    return base.union(light).repartition("key", "tile").sortWithinPartitions("key", "tile", "light")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -184,18 +268,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stage(spark, first, "stars")
     links = stage(spark, _verified(docs, id_col, text_col, n, first, num, den), "links")
     comp = components(spark, links)
-    placed = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    by_comp = placed.groupBy("key", "comp").count()
-    mixed = by_comp.groupBy("key").agg(F.max_by("comp", "count").alias("main"), F.sum("count").alias("members"), F.count("*").alias("comps")).where("comps > 1").select("key", "main", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    rows = placed.join(mixed, "key").join(thin, "id")
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    columns = ["key", "tile", "light", "id", "comp", "n_shingles", *_LONGS]
-    base = rows.withColumn("tile", tile).withColumn("light", F.lit(False)).select(columns)
-    light = rows.where("comp <> main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("light", F.lit(True)).select(columns)
-    tiles = base.union(light).repartition("key", "tile").sortWithinPartitions("key", "tile", "light")
-    rest = stage(spark, _cross_pairs(tiles, worst, num, den).join(first, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.union(_verified(docs, id_col, text_col, n, rest, num, den))
+    tested = first.select("a", "b")
+    for turn in range(ROUNDS + 1):
+        mixed = stage(spark, _mixed(shared, comp), "mixed")
+        if turn < ROUNDS:
+            met = _closest_pairs(_tiles(mixed, thin), worst, num, den)
+        else:
+            fine = _again(docs, id_col, text_col, n, mixed.select("id").distinct(), "fine", lambda s: _sketches(_samples(s, FINE_SAMPLES)[None, :], FINE_BITS)[0])
+            met = _all_pairs(_tiles(mixed, reps.join(fine, "id")), worst, num, den)
+        found = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        found = stage(spark, found, "pairs")
+        if found.isEmpty():
+            continue
+        more = stage(spark, _verified(docs, id_col, text_col, n, found, num, den), "links")
+        tested, links = tested.union(found), links.union(more)
         comp = components(spark, links)
     by_class = classes.join(comp, classes.rep == comp.id, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     placed_rows = sigs.select("id", "n_shingles", "f1", "f2").join(by_class, ["f1", "f2"], "left")
