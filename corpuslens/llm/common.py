@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; long documents make wide rows, so batches stay short.
 BATCH_ROWS = 512
+#: Files of an intermediate table for each core of the cluster.
+FILES = 4
 #: log2 of the bits of a membership bitmap: 2**25 bits are 4 MB whatever the input's size.
 BITMAP_BITS = 25
 
@@ -40,9 +42,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    At most FILES files for each core: many small partitions are written by fewer tasks, none is split or moved.
+    """
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.coalesce(FILES * max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
