@@ -24,6 +24,8 @@ from .kernels import lists, mix, words
 PASSAGE, PAIRS, HIDDEN, GATE = 64, 256, 32, 16
 FEATURES = PAIRS + 3
 SAMPLE, BAG, EPOCHS, RATE = 5000, 24, 30, 0.004
+#: Small samples are passed over more often, for so many updates at least.
+UPDATES = 1000
 _BUCKET = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(PAIRS)).astype(np.int64)
 
 
@@ -96,12 +98,12 @@ class Model:
         dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
         return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dlogit, "d": dlogit.sum(keepdims=True)}
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 64, decay: float = 1e-4) -> Model:
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 64, decay: float = 3e-4) -> Model:
         """Adam over the bags; the same bags in the same order give the same model."""
         rng = np.random.default_rng(2)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-UPDATES // -(-len(bags) // batch)))):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
