@@ -1,0 +1 @@
+"""Package audits, report contracts and table analytics on Spark."""

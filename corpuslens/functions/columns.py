@@ -92,10 +92,10 @@ def escape_markdown(text: Column | str) -> Column:
 
 
 def badge_message(grade: Column | str, coverage: Column | str | None = None) -> Column:
-    """``A``, or with its coverage where that is not complete; a failed scan says so."""
+    """``grade A``, with its coverage where that is not complete; a failed scan says so."""
     g = col(grade)
     extra = F.lit("") if coverage is None else F.when(col(coverage) == "partial", " (partial)").when(col(coverage) == "unknown", " (coverage unknown)").otherwise("")
-    return F.when(g == "X", "scan failed").otherwise(F.concat(g, extra))
+    return F.when(g == "X", "scan failed").otherwise(F.concat(F.lit("grade "), g, extra))
 
 
 # Badge colours by grade.

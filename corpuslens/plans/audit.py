@@ -433,7 +433,7 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     FINDINGS
     + f""", g AS (SELECT user_id, day, {GRADES} AS grade, count(*) AS n FROM f GROUP BY 1, 2)
-SELECT user_id, day, grade || CASE WHEN n = 1 THEN ' (partial)' ELSE '' END AS message,
+SELECT user_id, day, 'grade ' || grade || CASE WHEN n = 1 THEN ' (partial)' ELSE '' END AS message,
   CASE grade {' '.join(f"WHEN '{g}' THEN '{c}'" for g, c in COLOURS.items())} END AS color FROM g
 """
 )
