@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_stream, stage
 
+#: Rows of a block, about.
 BLOCK = 8192
 PROJECTIONS = 96
 #: Share of the projections on which a candidate collides.
 COLLISIONS = 0.65
-#: Share of a block that is verified at least.
-CANDIDATES = 0.08
-START, GROW = 0.85, 1.12
+#: Share of a block that is verified at least, and so many rows besides: in small blocks the nearest stand out less.
+CANDIDATES, LEAST = 0.075, 256
+START, GROW, PROBES = 0.2, 1.12, 16
 
 
 def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
@@ -38,44 +39,56 @@ class Index:
     """The sorted projections of one block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
-        self.ids, self.vectors = ids, vectors
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[by_id], vectors[by_id]
         self.directions = directions(vectors.shape[1])
-        scaled = vectors / norm
+        scaled = self.vectors / norm
         last = np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))
         projected = scaled @ self.directions[:-1] + last[:, None] * self.directions[-1]
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
-
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Positions of the rows that collide often enough; at least CANDIDATES of the block."""
-        n, m = len(self.ids), len(self.order)
-        centre = (query / np.sqrt((query * query).sum())) @ self.directions[:-1]
-        enough, need = int(np.ceil(COLLISIONS * m)), min(n, int(CANDIDATES * n) + 32)
-        left = right = None
-        count = np.zeros(n, np.int64)
-        width = START
-        while True:
-            low = [s.searchsorted(c - width, "left") for s, c in zip(self.sorted, centre, strict=True)]
-            high = [s.searchsorted(c + width, "right") for s, c in zip(self.sorted, centre, strict=True)]
-            if left is None:
-                rings = [o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]
-            else:
-                rings = [o[a:x] for o, a, x in zip(self.order, low, left, strict=True)] + [o[y:b] for o, y, b in zip(self.order, right, high, strict=True)]
-            left, right = low, high
-            count += np.bincount(np.concatenate(rings), minlength=n)
-            found = np.flatnonzero(count >= enough)
-            if len(found) >= need or (max(low) == 0 and min(high) == n):
-                return found
-            width *= GROW
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best candidates, best first, ties to smaller ids."""
-        found = self.candidates(query)
-        found = found[self.ids[found] != query_id]
-        scores = np.einsum("ij,j->i", self.vectors[found], query)
-        ids = self.ids[found]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        order = np.argsort(projected, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(projected.T, order, axis=1)
+        #: place of each row in each sorted array: a window is a range of places
+        self.kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        self.place = np.empty(order.shape, self.kind)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.kind)[None, :], axis=1)
+        self.enough, self.need = int(np.ceil(COLLISIONS * len(order))), min(len(ids), int(CANDIDATES * len(ids)) + LEAST)
+        # where windows begin to grow: one step before the narrowest that some of the block's own rows need
+        self.start = START
+        probes = self.vectors[:: max(1, len(ids) // PROBES)][:PROBES]
+        self.start = max(START, min(width for _, width in self.candidates(probes)) / GROW)
+
+    def windows(self, centres: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, projections): where the window of each query begins and ends in each sorted array."""
+        low = [s.searchsorted(c - width, "left") for s, c in zip(self.sorted, centres.T, strict=True)]
+        high = [s.searchsorted(c + width, "right") for s, c in zip(self.sorted, centres.T, strict=True)]
+        return np.stack(low, axis=1), np.stack(high, axis=1)
+
+    def candidates(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """For each query the positions of the rows that collide often enough, at least CANDIDATES of the block, and the windows' last width."""
+        n = len(self.ids)
+        centres = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ self.directions[:-1]
+        for centre, low, high in zip(centres, *self.windows(centres, self.start), strict=True):
+            width = self.start
+            while True:
+                inside = (self.place - low.astype(self.kind)[:, None]) < (high - low).astype(self.kind)[:, None]
+                found = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= self.enough)
+                if len(found) >= self.need or (low.max() == 0 and high.min() == n):
+                    yield found, width
+                    break
+                width *= GROW
+                (low,), (high,) = self.windows(centre[None, :], width)
+
+    def search(self, query_ids: list[int], queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each query's id with ids and inner products of the k best candidates, best first, ties to smaller ids."""
+        for query_id, query, (found, _) in zip(query_ids, queries, self.candidates(queries), strict=True):
+            found = found[self.ids[found] != query_id]
+            scores = np.einsum("ij,j->i", self.vectors[found], query)
+            ids = self.ids[found]
+            if len(found) > 4 * k:  # all that may be among the best, ties with the last of them too
+                top = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                ids, scores = ids[top], scores[top]
+            best = np.lexsort((ids, -scores))[:k]
+            yield query_id, ids[best], scores[best]
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
@@ -89,11 +102,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     v = F.transform(vectors[vector_col], lambda x: x.cast("double"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     clean = vectors.select(vectors[id_col].cast("long").alias("id"), v.alias("v")).where("id is not null").where(F.coalesce(sound, F.lit(False)))
-    clean = stage(spark, clean.withColumn("dim", F.size("v")), "vectors")
+    clean = stage(spark, clean.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     norms = clean.select("dim", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).groupBy("dim").agg(F.max("n").alias("norm"), F.count("*").alias("rows"))
     # one row for each length of vector
     sized = clean.join(norms.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")), "dim")
-    base = sized.select("dim", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "id", "norm", "v")
+    base = sized.select("dim", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("query"), "id", "norm", "v")
     asked = sized.where(F.col("id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "id", "norm", "v")
     both = base.union(asked).repartition("dim", "block").sortWithinPartitions("dim", "block", "query")
 
@@ -116,7 +129,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                         continue
                     index = Index(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), batch.column(4)[a].as_py())
                     held = []
-                found = [(i, *index.search(i, x, k)) for i, x in zip(ids[a:b].tolist(), part, strict=True)]
+                found = list(index.search(ids[a:b].tolist(), part, k))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"]
                 )
