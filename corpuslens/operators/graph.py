@@ -1,37 +1,38 @@
-"""Reachability over edge tables by frontier iteration."""
+"""Reachability over edge tables by frontier iteration.
+
+Each round joins the frontier alone, drops what was seen, and writes the new frontier once; what was seen is the union of
+the frontiers, so nothing is written twice. Rounds are as many as the longest shortest path.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import cut
 
 
-def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, node): the starts and all nodes that edges (keys, src, dst) lead to.
+def _walk(edges: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """``first`` (keys, node) and all that follows by ``edges`` (a prefix of the keys, src, dst)."""
+    on = [k for k in keys if k in edges.columns]
+    edges = cut(edges.select(*on, "src", "dst").distinct())
+    fronts = [cut(first.select(*keys, "node").distinct())]
+    while not fronts[-1].isEmpty():
+        step = fronts[-1].withColumnRenamed("node", "src").join(edges, [*on, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+        fronts.append(cut(step.join(reduce(DataFrame.union, fronts), [*keys, "node"], "left_anti")))
+    return reduce(DataFrame.union, fronts)
 
-    Each round joins the frontier alone and drops what was seen; rounds are as many as the longest shortest path. Rounds
-    are checkpointed, so the plan stays short and a lost executor does not restart the walk.
-    """
-    key = list(keys)
-    edges = cut(edges.select(*key, "src", "dst").distinct())
-    seen = frontier = cut(starts.select(*key, "node").distinct())
-    while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "src").join(edges, [*key, "src"]).select(*key, F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, [*key, "node"], "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+
+def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, node): the starts and all nodes that edges (keys, src, dst) lead to."""
+    return _walk(edges, starts, list(keys))
 
 
 def closure(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, source, node): what each source reaches by one or more edges; itself only by a cycle."""
     key = list(keys)
-    first = sources.select(*key, F.col("node").alias("source")).distinct().join(edges.select(*key, F.col("src").alias("source"), F.col("dst").alias("node")), [*key, "source"]).distinct()
-    tagged = edges.select(*key, "src", "dst").distinct()
-    seen = frontier = cut(first)
-    while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "src").join(tagged, [*key, "src"]).select(*key, "source", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, [*key, "source", "node"], "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+    tagged = sources.select(*key, F.col("node").alias("source")).distinct()
+    first = tagged.join(edges.select(*key, F.col("src").alias("source"), F.col("dst").alias("node")), [*key, "source"])
+    return _walk(edges, first, [*key, "source"])
