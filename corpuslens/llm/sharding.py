@@ -97,3 +97,13 @@ def shard_rows(rows: DataFrame, dims: list[Column], tie: list[Column], shards: i
     whole = ranked.withColumn("_rank", rank.cast("long")).withColumn("shard", F.expr(f"cast((_rank * {shards}L) div _total as int)"))
     start = F.expr(f"(cast(shard as long) * _total + {shards - 1}L) div {shards}L")
     return whole.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_rank", "_in", "_before", "_total", "_pid", *order)
+
+
+def write_shards(dealt: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> None:
+    """Writes what ``shard_rows`` returns as Parquet, a folder for each shard, in files of runs of ``slot``.
+
+    A file holds one run of the curve, so its column statistics prune on every dimension; a shard of any size is many
+    files, none written by more than one task.
+    """
+    run = F.expr(f"slot div {rows_per_file}")
+    dealt.withColumn("_run", run).repartition("shard", "_run").sortWithinPartitions("shard", "_run", "slot").drop("_run").write.partitionBy("shard").parquet(folder)

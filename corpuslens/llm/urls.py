@@ -130,3 +130,8 @@ def threshold(scored: DataFrame) -> int:
     i = next(k for k, e in enumerate(errors) if e[0] == least)
     low = errors[i - 1][1] + 1 if i else errors[i][1]
     return int((low + errors[i][1]) / 2 * BIN)
+
+
+def keep_allowed(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
+    """Those of ``pages`` that are judged ``allow``, with their own columns."""
+    return judge(pages, url_col, rules).where("verdict = 'allow'").select(pages.columns)

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.llm.queries import op9_sharding
-from corpuslens.llm.sharding import hilbert_index, shard_rows
+from corpuslens.llm.common import scratch
+from corpuslens.llm.sharding import hilbert_index, quantise_log, shard_rows, write_shards
 
 from ..conftest import SF
 
@@ -42,3 +43,19 @@ def test_edges(spark, n):
     assert len(got) == n and sum(counts) == n and max(counts) - min(counts) <= 1
     for s in range(24):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+
+
+def test_files_prune(spark):
+    rows = spark.range(4000).selectExpr("id", "cast(pmod(xxhash64(id), 500) as int) as a", "cast(pmod(xxhash64(id, 1), 500) as int) as b")
+    dealt = shard_rows(rows, [F.col("a") % 256, F.col("b") % 256], [F.col("id")], 16)
+    folder = scratch(spark, "shards")
+    write_shards(dealt, folder, 50)
+    back = spark.read.parquet(folder)
+    assert back.count() == 4000 and back.where("shard = 3").count() == 250
+    files = spark.read.parquet(folder).select("*", F.col("_metadata.file_path").alias("f")).where("a < 256 and b < 256").groupBy("f").agg(*[F.max(c) - F.min(c) for c in ("a", "b")]).collect()
+    assert len(files) >= 16 and sum(r[1] < 130 and r[2] < 130 for r in files) > len(files) * 0.8
+
+
+def test_quantised_sizes(spark):
+    got = spark.createDataFrame([(None,), (-5,), (0,), (1,), (1 << 60,)], "n long").select(quantise_log(F.col("n")).alias("q")).collect()
+    assert [r.q for r in got] == [0, 0, 0, 8, 255]

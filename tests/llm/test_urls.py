@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpuslens.llm.queries import op2_urls
-from corpuslens.llm.urls import ALPHABET, ORDER, RULES, UNIT, judge, model, threshold
+from corpuslens.llm.urls import ALPHABET, ORDER, RULES, UNIT, judge, keep_allowed, model, threshold
 
 from ..conftest import SF
 
@@ -84,6 +84,7 @@ def test_edges(spark):
     got = judge(df).collect()
     assert len(got) == 4 and len({r.verdict for r in got if not r.rule}) == 1
     assert judge(df.limit(0)).count() == 0
+    assert keep_allowed(df).count() == sum(r.verdict == "allow" for r in got) and keep_allowed(df).columns == df.columns
 
 
 def test_threshold(spark):
