@@ -8,7 +8,7 @@
 4. A local alignment of the item with the region (match 2, mismatch and gap -1) is scored against the item's best
    possible score. From THRESHOLD on the document leaks the item.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z as a-z; punctuation parts words and is not compared. Items
+Words are runs of letters, digits and non-ASCII characters in lower case; ASCII punctuation parts words and is not compared. Items
 of under n words have no n-gram and are never found.
 """
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def item_grams(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = 0
-        for w in words(batch.column(1), PUNCTUATION):
+        for w in words(pc.utf8_lower(batch.column(1)), PUNCTUATION):
             g, first = w.grams(n)
             count = len(w.first) - 1
             yield pa.RecordBatch.from_arrays(
@@ -50,7 +51,7 @@ def _frequencies(docs: DataFrame, text_col: str, n: int, grams: DataFrame) -> Da
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(grams, "gram"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for w in words(batch.column(0), PUNCTUATION):
+        for w in words(pc.utf8_lower(batch.column(0)), PUNCTUATION):
             g, first = w.grams(n)
             hit = np.flatnonzero(in_bitmap(bits.value, g))
             pairs = np.unique(np.stack((g[hit], np.searchsorted(first, hit, "right").astype(np.uint64)), axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.uint64)
@@ -66,7 +67,7 @@ def _regions(docs: DataFrame, id_col: str, text_col: str, n: int, seeds: DataFra
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = 0
-        for w in words(batch.column(1), PUNCTUATION):
+        for w in words(pc.utf8_lower(batch.column(1)), PUNCTUATION):
             g, first = w.grams(n)
             hit = np.flatnonzero(in_bitmap(bits.value, g))
             text = np.searchsorted(first, hit, "right") - 1

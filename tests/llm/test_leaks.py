@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from corpuslens.llm.kernels import PUNCTUATION, words
 from corpuslens.llm.leaks import THRESHOLD, align, drop_leaks, find_leaks
@@ -8,7 +9,7 @@ from ..conftest import TINY
 
 
 def hashes(texts):
-    return [w.hashes[w.first[i] : w.first[i + 1]] for w in words(pa.array(texts, pa.string()), PUNCTUATION) for i in range(len(w.rows))]
+    return [w.hashes[w.first[i] : w.first[i + 1]] for w in words(pc.utf8_lower(pa.array(texts, pa.string())), PUNCTUATION) for i in range(len(w.rows))]
 
 
 def smith_waterman(a, b):
@@ -67,6 +68,9 @@ def test_edited_copies(spark):
 def test_edges(spark):
     passage = "the quick brown fox jumps over the lazy dog near the river bank"
     items = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (4, "two words"), (None, passage)], "item_id long, text string")
+    accents = "où ça mène élève être naïf garçon forêt château œuvre été"
+    shouted = spark.createDataFrame([(9, "xx " + accents.upper())], "doc_id long, text string")
+    assert find_leaks(shouted, spark.createDataFrame([(7, accents)], "item_id long, text string")).first().score == 1.0
     rows = [(1, passage.upper() + "!", 0), (1, passage, 0), (2, None, 1), (None, passage, 2), (3, "", 3), (4, "two words", 4), (5, "a " * 50000 + passage, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item int")
     assert {(r.doc, r.item) for r in find_leaks(docs, items).collect()} == {(1, 1), (5, 1)}
