@@ -20,7 +20,10 @@ BITS = 8
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
-    """Index on the Hilbert curve of the cell ``dims``, each an integer in [0, 2**bits); Skilling's transform as expressions over one array column."""
+    """Index on the Hilbert curve of the cell ``dims``, each an integer in [0, 2**bits); Skilling's transform as expressions over one array column.
+
+    Each step is a lambda over the array of the step before, so that nothing is evaluated twice and plans stay small.
+    """
     n = len(dims)
     x = F.array(*[d.cast("long") for d in dims])
     at = lambda a, i: F.element_at(a, i + 1)
@@ -35,20 +38,23 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
             out.append(at(a, i).bitwiseXOR(out[-1]))
         return F.array(*out)
 
-    x = F.element_at(F.transform(F.array(x), gray), 1)
-
-    def finish(a):
-        t = F.lit(0).cast("long")
+    def turned(a):
+        turn = F.lit(0).cast("long")
         for b in range(bits - 1, 0, -1):
-            t = F.when(at(a, n - 1).bitwiseAND(1 << b) != 0, t.bitwiseXOR((1 << b) - 1)).otherwise(t)
+            turn = turn.bitwiseXOR(F.when(at(a, n - 1).bitwiseAND(1 << b) != 0, (1 << b) - 1).otherwise(0).cast("long"))
+        return F.array(*[at(a, i) for i in range(n)], turn)
+
+    def interleaved(a):
         index = F.lit(0).cast("long")
         for b in range(bits - 1, -1, -1):
             for i in range(n):
-                bit = F.shiftright(at(a, i).bitwiseXOR(t), b).bitwiseAND(1)
+                bit = F.shiftright(at(a, i).bitwiseXOR(at(a, n)), b).bitwiseAND(1)
                 index = index.bitwiseOR(F.shiftleft(bit, b * n + n - 1 - i))
         return index
 
-    return F.element_at(F.transform(F.array(x), finish), 1)
+    for part in (gray, turned, interleaved):
+        x = F.element_at(F.transform(F.array(x), part), 1)
+    return x
 
 
 def _rotate(i: int, n: int, q: int, p: int):
