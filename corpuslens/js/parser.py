@@ -131,10 +131,10 @@ class _Parser:
                         raise self.lex.fail(start, "'import' and 'export' may appear only with 'sourceType: module'")
                     if not top:
                         raise self.lex.fail(start, "'import' and 'export' may only appear at the top level")
+            if t.value in ("class", "const") and not declaration:
+                raise self.unexpected()
             if handler:
                 return handler()
-            if t.value in ("class", "const", "function") and not declaration and t.value != "function":
-                raise self.unexpected()
             if t.value == "let" and self.starts_binding(self.peek()):
                 if not declaration:
                     raise self.unexpected()
@@ -566,7 +566,7 @@ class _Parser:
         if not self.at(word):
             return False
         p = self.peek()
-        if p.kind == "punct" and p.value in ("(", "=", ";", "}", ",", ":") or p.kind == "eof" or word in ("async", "static") and p.newline and word == "async":
+        if p.kind == "punct" and p.value in ("(", "=", ";", "}", ",", ":") or p.kind == "eof" or word == "async" and p.newline:
             return False
         self.next()
         return True
@@ -586,7 +586,7 @@ class _Parser:
         kind = "method"
         if not is_async and not generator:
             for word in ("get", "set"):
-                if self.at(word) and not ((p := self.peek()).newline and False) and self.modifier(word):
+                if self.modifier(word):
                     kind = word
                     break
         computed, key = self.key()
@@ -943,7 +943,7 @@ class _Parser:
         kind = "init"
         if not is_async and not generator:
             for word in ("get", "set"):
-                if self.at(word) and self.modifier(word):
+                if self.modifier(word):
                     kind = word
                     break
         t = self.tok

@@ -1,5 +1,8 @@
-"""Registered queries over the driver's tables: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL for the same rows."""
+"""Registered queries over the driver's tables: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL where SQL can express them."""
 
-from .audit import QUERIES, SQL
+from . import audit, packages
+
+QUERIES = audit.QUERIES | packages.QUERIES
+SQL = audit.SQL
 
 __all__ = ["QUERIES", "SQL"]

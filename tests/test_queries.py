@@ -22,7 +22,7 @@ def rows(values):
     return sorted(tuple("~" if v is None or v != v else str(v) for v in r) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, TINY)
     columns = sorted(got.columns)
@@ -43,3 +43,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_package_queries(spark):
+    """The engine over pages: every script parses, reports are valid, and hosts with both schemes are compared."""
+    facts = {r.pkg_id: r for r in QUERIES["script_facts"](spark, TINY).collect()}
+    pages = {r.host: r.first_page for r in QUERIES["outbound_hosts"](spark, TINY).collect()}
+    assert facts.keys() == pages.keys() and all(r.modules == r.files and r.failures == 0 for r in facts.values())
+    reports = {r.pkg_id: r for r in QUERIES["script_reports"](spark, TINY).collect()}
+    assert reports.keys() == facts.keys()
+    for key, r in reports.items():
+        # one file is the entry; all others are dead files, which is information only
+        assert (r.grade, r.info, r.coverage) == ("A", int(facts[key].files > 1), "complete") and r.critical + r.high + r.medium + r.low == 0
+    contract = QUERIES["report_contract"](spark, TINY).collect()
+    assert len(contract) == len(reports) and all(r.ok and r.context == "validated" and r.issues == 0 for r in contract)
+    diffs = QUERIES["report_diff"](spark, TINY).collect()
+    assert diffs and {r.comparability for r in diffs} == {"comparable"} and all(r.reasons == "" for r in diffs)
+    assert sum(r.findings_added + r.findings_removed for r in diffs) > 0
