@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; long documents make wide rows, so batches stay short.
 BATCH_ROWS = 512
-#: Files of an intermediate table for each core of the cluster.
-FILES = 4
+#: A narrow table is written by so many tasks for each core, or one for so many shuffle partitions, whichever are more.
+FILES, MERGE = 2, 16
 #: log2 of the bits of a membership bitmap: 2**25 bits are 4 MB whatever the input's size.
 BITMAP_BITS = 25
 
@@ -33,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         where = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -41,13 +43,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpuslens/{label}-{uuid.uuid4().hex}"
 
 
-def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
 
-    At most FILES files for each core: many small partitions are written by fewer tasks, none is split or moved.
+    narrow: a table of a few numbers a row; its small partitions are written by fewer tasks, no row is moved.
     """
     path = scratch(spark, label)
-    df.coalesce(FILES * max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
+    if narrow:
+        df = df.coalesce(max(FILES * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGE, 1))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     the largest component. Self-edges and nulls are ignored; no edges give no rows.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = stage(spark, now, "edges")
+    now = stage(spark, now, "edges", narrow=True)
     seen = _print(now)
     while seen[0]:
         both = now.union(now.select("v", "u"))
@@ -24,7 +24,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stage(spark, small, "edges")
+        now = stage(spark, small, "edges", narrow=True)
         before, seen = seen, _print(now)
         if before == seen:
             break
