@@ -15,11 +15,11 @@ left out or changed:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bitmap, in_bitmap, stage
@@ -108,6 +108,21 @@ def within_one(x: list[int], y: list[int]) -> bool:
     return x[i:] == y[i + 1 :] or len(x) == len(y) and x[i + 1 :] == y[i + 1 :]
 
 
+def _places(lines: DataFrame) -> tuple[Callable[[Column, Column], Column], Callable[[str], Column], Callable[[str], Column]]:
+    """How a line's place (document, line) is one value in its order, and how to read it.
+
+    A whole number where all ids and line numbers fit it, which aggregates without sorting; else a struct.
+    """
+    low, high, last = lines.agg(F.min("id"), F.max("id"), F.max("line")).first()
+    if low is None or low >= 0 and high < 1 << 42 and last < 1 << 21:
+        return (
+            lambda i, n: F.shiftleft(i, 21).bitwiseOR(n.cast("long")),
+            lambda c: F.shiftright(F.col(c), 21),
+            lambda c: F.col(c).bitwiseAND((1 << 21) - 1).cast("int"),
+        )
+    return (lambda i, n: F.struct(i.alias("id"), n.alias("line")), lambda c: F.col(c)["id"], lambda c: F.col(c)["line"])
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, keep_id, keep_line, distance): each line that goes, and the earliest line that it repeats.
 
@@ -117,17 +132,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     lines = stage(spark, occurrences(docs, id_col, text_col), "lines")
-    place = F.struct("id", "line")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("rep"), F.max(place).alias("last"), *[F.max(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3")])
+    place, id_of, line_of = _places(lines)
+    at = place(F.col("id"), F.col("line"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("rep"), F.max(at).alias("last"), *[F.max(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3")])
     classes = stage(spark, classes, "line-classes")
     again = classes.where("rep <> last").select("h1", "h2", "rep")
-    exact = lines.select("id", "line", "h1", "h2").join(again, ["h1", "h2"]).where((F.col("id") != F.col("rep.id")) | (F.col("line") != F.col("rep.line")))
-    exact = exact.select("id", "line", F.col("rep.id").alias("keep_id"), F.col("rep.line").alias("keep_line"), F.lit(0).alias("distance"))
+    exact = lines.select("h1", "h2", at.alias("at")).join(again, ["h1", "h2"]).where("at <> rep")
+    exact = exact.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("rep").alias("keep_id"), line_of("rep").alias("keep_line"), F.lit(0).alias("distance"))
 
-    halves = classes.where(F.col("size") >= NEAR_WORDS).select("h1", "h2", "rep", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("half"))
-    met = halves.groupBy("half").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("half")
-    wanted = stage(spark, halves.join(met, "half").select("h1", "h2", F.col("rep.id").alias("id"), F.col("rep.line").alias("line")).distinct(), "line-candidates")
-    near = stage(spark, _neighbourhoods(docs, id_col, text_col, wanted).join(wanted, ["h1", "h2", "id", "line"]).withColumn("at", place).select("at", "h1", "words", "variants"), "neighbourhoods")
+    halves = classes.where(F.col("size") >= NEAR_WORDS).select("h1", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("half"))
+    met = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
+    partners = stage(spark, halves.join(met, "half").select("h1").distinct(), "line-candidates", narrow=True)
+    wanted = classes.join(partners, "h1", "left_semi").select("h1", "h2", "rep")
+    drawn = _neighbourhoods(docs, id_col, text_col, partners).withColumn("at", at)
+    near = stage(spark, drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep)).select("at", drawn.h1, "words", "variants"), "neighbourhoods")
 
     changed = near.select("at", F.posexplode("variants").alias("p", "v")).select("at", F.xxhash64("v", "p").alias("key"))
     first = changed.groupBy("key").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last").select("key", "keep")
@@ -144,9 +162,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ok = [within_one(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:4]], ["id", "line", "keep_id", "keep_line"])
 
-    flat = seen.select(F.col("at.id").alias("id"), F.col("at.line").alias("line"), F.col("keep.id").alias("keep_id"), F.col("keep.line").alias("keep_line"), "x", "y")
-    verified = arrow_map(flat, verify, "id long, line int, keep_id long, keep_line int")
-    edited = verified.groupBy("id", "line").agg(F.min(F.struct("keep_id", "keep_line")).alias("k")).select("id", "line", "k.keep_id", "k.keep_line", F.lit(1).alias("distance"))
+    flat = seen.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), "x", "y")
+    verified = arrow_map(flat, verify, "id long, line int, keep_id long, keep_line int").withColumn("keep", place(F.col("keep_id"), F.col("keep_line")))
+    edited = verified.groupBy("id", "line").agg(F.min("keep").alias("keep")).select("id", "line", id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), F.lit(1).alias("distance"))
     return exact.union(edited)
 
 

@@ -63,6 +63,11 @@ def test_edits_against_brute_force(spark):
         assert (r.keep_id, r.keep_line) < (r.id, r.line) and within_one(a, b) and (a == b) == (r.distance == 0)
 
 
+def test_places_of_any_id(spark):
+    rows = [(-5, "a b c d e f g"), (1 << 60, "a b c d e f h"), (3, "A b c d e f g")]
+    assert shape(duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows) == {(3, 0, -5, 0, 0), (1 << 60, 0, 1)}
+
+
 def test_edges(spark):
     rows = [(1, "Hello there\n\nhello  THERE\n", "en", 7), (None, "Hello there", "x", 1), (2, "hello there", None, 11), (3, None, "y", None), (4, "", "z", 0), (5, "\n\n", "z", 2), (6, "own\nHello there", "z", 5), (6, "own\nHello there", "z", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, line string, n_chars long")
