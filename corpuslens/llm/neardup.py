@@ -4,8 +4,8 @@
    odd sketch: the samples folded into 512 parity bits. Texts of equal sets are one class with its smallest id.
 2. Classes that share a band key are candidates. The XOR of two odd sketches has a population count that estimates the
    similarity; hopeless pairs are dropped, the margin is more than four standard deviations.
-3. First only stars are verified: each class against the leader of its buckets that looks closest. Then, for ROUNDS
-   rounds at most, classes of one bucket that are still in different components are compared by their sketches, tile
+3. First only stars are verified: each class against the leader of its buckets that looks closest. Then, in ROUNDS
+   rounds, classes of one bucket that are still in different components are compared by their sketches, tile
    by tile, and each is verified against the closest of them. That joins nearly all members of a large group in a few
    comparisons a member. What is left - pairs of one bucket, still in different components, that may be similar by a
    finer odd sketch of 1024 samples and 2048 bits too - is verified whole. A pair inside one component needs no check,
@@ -30,7 +30,7 @@ from .kernels import lists, mix, shingle_sets, words
 
 SAMPLES, BANDS, BITS = 256, 32, 512
 ROWS = 4
-ROUNDS = 3
+ROUNDS = 1
 #: Estimates that are lower than the threshold by more than this are dropped: over four standard deviations.
 SLACK, FINE_SLACK = 0.2, 0.1
 FINE_SAMPLES, FINE_BITS = 1024, 2048
@@ -265,24 +265,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = F.lit(den) * F.least("n_shingles", "o_n_shingles") >= F.lit(num) * F.greatest("n_shingles", "o_n_shingles")
     worst = _worst(num / den)
     first = stars.withColumn("z", z).where((F.col("z") <= worst) & sizes).groupBy("id").agg(F.min(F.struct("z", "leader")).alias("m")).select(F.col("id").alias("a"), F.col("m.leader").alias("b"))
-    first = stage(spark, first, "stars")
-    links = stage(spark, _verified(docs, id_col, text_col, n, first, num, den), "links")
+    first = stage(spark, first, "stars", narrow=True)
+    links = stage(spark, _verified(docs, id_col, text_col, n, first, num, den), "links", narrow=True)
     comp = components(spark, links)
     tested = first.select("a", "b")
     for turn in range(ROUNDS + 1):
-        mixed = stage(spark, _mixed(shared, comp), "mixed")
+        mixed = stage(spark, _mixed(shared, comp), "mixed", narrow=True)
         if turn < ROUNDS:
             met = _closest_pairs(_tiles(mixed, thin), worst, num, den)
         else:
             fine = _again(docs, id_col, text_col, n, mixed.select("id").distinct(), "fine", lambda s: _sketches(_samples(s, FINE_SAMPLES)[None, :], FINE_BITS)[0])
             met = _all_pairs(_tiles(mixed, reps.join(fine, "id")), worst, num, den)
         found = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        found = stage(spark, found, "pairs")
+        found = stage(spark, found, "pairs", narrow=True)
         if found.isEmpty():
             continue
-        more = stage(spark, _verified(docs, id_col, text_col, n, found, num, den), "links")
-        tested, links = tested.union(found), links.union(more)
-        comp = components(spark, links)
+        more = stage(spark, _verified(docs, id_col, text_col, n, found, num, den), "links", narrow=True)
+        tested = tested.union(found)
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = components(spark, links)
     by_class = classes.join(comp, classes.rep == comp.id, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     placed_rows = sigs.select("id", "n_shingles", "f1", "f2").join(by_class, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
