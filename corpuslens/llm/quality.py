@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .kernels import lists, mix, words
+from .kernels import mix, words
 
 PASSAGE, PAIRS, HIDDEN, GATE = 64, 256, 32, 16
 FEATURES = PAIRS + 3
-SAMPLE, BAG, EPOCHS, RATE = 5000, 24, 30, 0.004
+SAMPLE, BAG, EPOCHS, RATE = 4000, 16, 30, 0.004
 #: Small samples are passed over more often, for so many updates at least.
 UPDATES = 1000
 _BUCKET = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(PAIRS)).astype(np.int64)
@@ -108,7 +108,7 @@ class Model:
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
                 begin = np.concatenate(([0], np.cumsum([len(bags[i]) for i in some])))
-                grads = self.gradients(np.concatenate([bags[i] for i in some]), begin, y[some])
+                grads = self.gradients(np.concatenate([bags[i] for i in some], dtype=np.float32), begin, y[some])
                 step += 1
                 for k, grad in grads.items():
                     grad = grad + decay * self.p[k]
@@ -126,13 +126,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, x, begin in encode(batch.column(2), BAG):
             cut = slice(rows.start, rows.stop)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], lists([x[a:b].ravel() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.float32())], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], ["id", "y", "x"])
 
     # at most ``sample`` rows, so the broadcast is bounded
     text = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("_y").alias("y"), docs[text_col].alias("text"))
-    got = arrow_map(text, run, "id long, y int, x array<float>").toArrow()
+    got = arrow_map(text, run, "id long, y int, x binary").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
-    bags = [got["x"][int(i)].values.to_numpy().reshape(-1, FEATURES) for i in order]
+    bags = [np.frombuffer(got["x"][int(i)].as_py(), np.float16).reshape(-1, FEATURES) for i in order]
     y = got["y"].to_numpy()[order].astype(np.float32)
     return Model().fit(bags, y) if len(bags) else Model()
 
