@@ -1,7 +1,8 @@
 """Reachability over edge tables by frontier iteration.
 
-Each round joins the frontier alone, drops what was seen, and writes the new frontier once; what was seen is the union of
-the frontiers, so nothing is written twice. Rounds are as many as the longest shortest path.
+Each round follows HOPS edges from the frontier alone, drops what was seen, and writes the new frontier once; what was
+seen is the union of the frontiers, so nothing is written twice. Rounds are the longest shortest path by HOPS; a node is
+expanded in its own round and at most once more.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .staging import cut
 
+HOPS = 4
+
 
 def _walk(edges: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
     """``first`` (keys, node) and all that follows by ``edges`` (a prefix of the keys, src, dst)."""
@@ -20,8 +23,11 @@ def _walk(edges: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
     edges = cut(edges.select(*on, "src", "dst").distinct())
     fronts = [cut(first.select(*keys, "node").distinct())]
     while not fronts[-1].isEmpty():
-        step = fronts[-1].withColumnRenamed("node", "src").join(edges, [*on, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        fronts.append(cut(step.join(reduce(DataFrame.union, fronts), [*keys, "node"], "left_anti")))
+        hops = [fronts[-1]]
+        for _ in range(HOPS):
+            hops.append(hops[-1].withColumnRenamed("node", "src").join(edges, [*on, "src"]).select(*keys, F.col("dst").alias("node")).distinct())
+        met = reduce(DataFrame.union, hops[1:]).distinct()
+        fronts.append(cut(met.join(reduce(DataFrame.union, fronts), [*keys, "node"], "left_anti")))
     return reduce(DataFrame.union, fronts)
 
 
