@@ -1,84 +1,107 @@
 """Operator 3: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-1. The document frequency of every n-gram of the test items is counted over all documents.
-2. Of every STRIDE neighbouring n-grams of an item the rarest is a seed, so that seeds lie along the whole item and an
-   edit spoils few of them. Common n-grams seed nothing unless the item has no rarer ones.
-3. Documents are searched for seeds; around the hits the word hashes are cut out (the longest item's length to either
-   side, overlapping cuts are one region), and seeds join regions to items.
+1. Seeds are all runs of n words of the test items, and all runs of n + 1 words, also those in which one word is put in,
+   left out or changed: of both sides the runs of n + 1 words out of n + 2 (one inner word skipped) are hashed too.
+2. Documents are searched for seeds; around the hits the word hashes are cut out (as far as an alignment that reaches the
+   threshold can go, overlapping cuts are one region), and seeds join regions to items.
+3. Pairs stay whose region holds enough words of the item close together; no pair that reaches the threshold goes here.
 4. A local alignment of the item with the region (match 2, mismatch and gap -1) is scored against the item's best
    possible score. From THRESHOLD on the document leaks the item.
 
+A copy is found if n words in a row are intact anywhere, or n + 1 with one edit inside. At the threshold of 0.5 and n = 3
+copies without either score at most about 2/3 (a word put in after the second, third, fifth, sixth, ... word); these may
+be missed.
+
 Words are runs of letters, digits and non-ASCII characters in lower case; ASCII punctuation parts words and is not compared. Items
 of under n words have no n-gram and are never found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bitmap, in_bitmap, stage
-from .kernels import PUNCTUATION, lists, words
+from .kernels import PUNCTUATION, Words, lists, mix, words
 
 SEED_WORDS = 3
-STRIDE = 2
 THRESHOLD = 0.5
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def seed_hits(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text, gram): first word, text and hash of all seeds of a chunk, ordered by word.
+
+    Seeds are n words in a row, n + 1 in a row, and n + 1 of n + 2 with an inner one skipped.
+    """
+    forms = [tuple(range(n)), tuple(range(n + 1)), *(tuple(i for i in range(n + 2) if i != k) for k in range(1, n + 1))]
+    h, count = w.hashes, np.diff(w.first)
+    text = np.repeat(np.arange(len(count)), count)
+    at, grams = [], []
+    for form in forms:
+        m = len(h) - form[-1]
+        if m <= 0:
+            continue
+        inside = np.flatnonzero(text[:m] == text[form[-1] :])
+        g = np.zeros(m, np.uint64)
+        for k in form:
+            g = g * _STEP + h[k : k + m]
+        at.append(inside)
+        grams.append(mix(g + np.uint64(len(form)))[inside])
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    word = np.concatenate(at)
+    order = np.argsort(word, kind="stable")
+    return word[order], text[word[order]], np.concatenate(grams)[order]
+
+
+def reach_of(longest: int, threshold: float) -> int:
+    """Words that the text side of an alignment from ``threshold`` on spans at most: the item's, and as many gaps as the score allows."""
+    return max(longest, math.ceil(longest * (3 - 2 * threshold)))
 
 
 def item_grams(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(item, words, grams): word hashes and n-gram hashes of each item, in order."""
+    """(item, words, grams): word hashes of each item, in order, and its distinct seeds."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = 0
         for w in words(pc.utf8_lower(batch.column(1)), PUNCTUATION):
-            g, first = w.grams(n)
+            _, text, g = seed_hits(w, n)
             count = len(w.first) - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, count), lists([w.hashes[w.first[i] : w.first[i + 1]] for i in range(count)], pa.int64()), lists([g[first[i] : first[i + 1]] for i in range(count)], pa.int64())], ["item", "words", "grams"]
+                [batch.column(0).slice(at, count), lists([w.hashes[w.first[i] : w.first[i + 1]] for i in range(count)], pa.int64()), lists([np.unique(g[text == i]) for i in range(count)], pa.int64())], ["item", "words", "grams"]
             )
             at += count
 
     return arrow_map(items.where(items[id_col].isNotNull()).select(items[id_col].cast("long").alias("item"), items[text_col].alias("text")), run, "item long, words array<long>, grams array<long>")
 
 
-def _frequencies(docs: DataFrame, text_col: str, n: int, grams: DataFrame) -> DataFrame:
-    """(gram, df): in how many documents each of ``grams`` occurs; grams of no document are not listed."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(grams, "gram"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for w in words(pc.utf8_lower(batch.column(0)), PUNCTUATION):
-            g, first = w.grams(n)
-            hit = np.flatnonzero(in_bitmap(bits.value, g))
-            pairs = np.unique(np.stack((g[hit], np.searchsorted(first, hit, "right").astype(np.uint64)), axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.uint64)
-            found, count = np.unique(pairs[:, 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["gram", "n"])
-
-    return arrow_map(docs.select(docs[text_col]), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
-
-
 def _regions(docs: DataFrame, id_col: str, text_col: str, n: int, seeds: DataFrame, reach: int) -> DataFrame:
     """(doc, start, words, hits): stretches of word hashes around seeds, and the distinct seeds in each."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "gram"))
+    # two bitmaps of other bits of the hash: foreign grams would make regions of their own
+    upper = seeds.select(F.shiftrightunsigned("gram", 32).alias("gram"))
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap(seeds, "gram"), bitmap(upper, "gram")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = 0
         for w in words(pc.utf8_lower(batch.column(1)), PUNCTUATION):
-            g, first = w.grams(n)
-            hit = np.flatnonzero(in_bitmap(bits.value, g))
-            text = np.searchsorted(first, hit, "right") - 1
-            word = hit - first[text] + w.first[text]  # of all words of the chunk
+            word, text, g = seed_hits(w, n)
+            hit = np.flatnonzero(in_bitmap(bits.value[0], g))
+            hit = hit[in_bitmap(bits.value[1], g[hit] >> np.uint64(32))]
+            word, text = word[hit], text[hit]
             cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(word) > 2 * reach)) + 1 if len(hit) else []
             rows: list[list] = [[], [], [], []]
             for a, b in zip(np.concatenate(([0], cut)).astype(int), np.append(cut, len(hit)).astype(int), strict=True):
                 if a == b:
                     continue
                 low, high = w.first[text[a]], w.first[text[a] + 1]
-                begin, end = max(low, word[a] - reach), min(high, word[b - 1] + n + reach)
+                begin, end = max(low, word[a] - reach), min(high, word[b - 1] + n + 2 + reach)
                 for column, value in zip(rows, (at + text[a], begin - low, w.hashes[begin:end], np.unique(g[hit[a:b]])), strict=True):
                     column.append(value)
             if rows[0]:
@@ -107,6 +130,15 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def may_leak(item: np.ndarray, text: np.ndarray, threshold: float) -> bool:
+    """False only if no alignment reaches ``threshold``: too few words of the item in every stretch that one can span."""
+    known = np.sort(item)
+    at = np.minimum(np.searchsorted(known, text), len(known) - 1)
+    total = np.concatenate(([0], np.cumsum(known[at] == text)))
+    span = min(reach_of(len(item), threshold), len(text))
+    return bool((total[span:] - total[: len(total) - span]).max() >= threshold * len(item))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, item, score, start, end): leaked items by document; score in [threshold, 1].
 
@@ -116,25 +148,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     """
     spark = docs.sparkSession
     tests = stage(spark, item_grams(items, item_id, item_text, n).where(F.size("grams") > 0), "items")
-    grams = tests.select("item", F.posexplode("grams").alias("at", "gram"))
-    df = _frequencies(docs, doc_text, n, grams.select("gram").distinct())
-    rarest = Window.partitionBy("item", F.floor(F.col("at") / STRIDE)).orderBy(F.coalesce("df", F.lit(0)), "at")
-    seeds = grams.join(df, "gram", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1").select("item", "gram").distinct()
-    seeds = stage(spark, seeds, "seeds")
-    reach = tests.agg(F.max(F.size("words"))).first()[0] or 0
+    seeds = stage(spark, tests.select("item", F.explode("grams").alias("gram")), "seeds")
+    longest = tests.agg(F.max(F.size("words"))).first()[0] or 0
+    reach = reach_of(longest, threshold)
     regions = stage(spark, _regions(docs, doc_id, doc_text, n, seeds.select("gram").distinct(), reach), "regions")
     met = regions.select("doc", "start", F.explode("hits").alias("gram")).join(seeds, "gram").select("doc", "start", "item").distinct()
     sides = met.join(regions.select("doc", "start", F.col("words").alias("text")), ["doc", "start"]).join(tests.select("item", "words"), "item")
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        scores, ends = [], []
+        text, words = batch.column(3), batch.column(4)
+        values = [c.values.to_numpy() for c in (text, words)]
+        bounds = [c.offsets.to_numpy() for c in (text, words)]
+        kept, scores, ends = [], [], []
         for i in range(batch.num_rows):
-            item = batch.column(4)[i].values.to_numpy()
-            best, end = align(item, batch.column(3)[i].values.to_numpy())
-            scores.append(best / (2 * len(item)))
-            ends.append(end + batch.column(1)[i].as_py())
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), batch.column(1), pa.array(ends, pa.int64())], ["doc", "item", "score", "start", "end"])
-        yield out.filter(pa.array(np.array(scores) >= threshold))
+            passage, item = (v[o[i] : o[i + 1]] for v, o in zip(values, bounds, strict=True))
+            if not may_leak(item, passage, threshold):
+                continue
+            best, end = align(item, passage)
+            if best / (2 * len(item)) >= threshold:
+                kept.append(i)
+                scores.append(best / (2 * len(item)))
+                ends.append(end + batch.column(1)[i].as_py())
+        at = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(scores, pa.float64()), batch.column(1).take(at), pa.array(ends, pa.int64())], ["doc", "item", "score", "start", "end"])
 
     found = arrow_map(sides.select("doc", "start", "item", "text", "words"), score, "doc long, item long, score double, start long, end long")
     best = found.groupBy("doc", "item").agg(F.min(F.struct((-F.col("score")).alias("s"), "start", "end")).alias("b"))

@@ -76,3 +76,24 @@ def test_edges(spark):
     assert {(r.doc, r.item) for r in find_leaks(docs, items).collect()} == {(1, 1), (5, 1)}
     assert drop_leaks(docs, items).columns == docs.columns
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_dense_edits_and_many_copies(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, rng.integers(15, 60)))) for i in range(12)]
+    edits = {
+        0: lambda w: [f"x{rng.integers(10**6)}" if i % 4 == 3 else x for i, x in enumerate(w)],
+        1: lambda w: [y for i, x in enumerate(w) for y in ([x, f"x{rng.integers(10**6)}"] if i % 3 == 2 else [x])],
+        2: lambda w: [y for i, x in enumerate(w) for y in ([x, f"x{rng.integers(10**6)}"] if i % 2 else [x])],
+    }
+    rows = [(1000 * kind + 20 * i + copy, " ".join(edit(text.split()))) for kind, edit in edits.items() for i, text in items for copy in range(20)]
+    want = {}
+    tests = hashes([t for _, t in items])
+    for (key, _), text in zip(rows, hashes([t for _, t in rows]), strict=True):
+        for (i, _), test in zip(items, tests, strict=True):
+            score = align(test, text)[0] / (2 * len(test))
+            if score >= THRESHOLD:
+                want[key, i] = score
+    assert {k for k, _ in want} == {k for k, _ in rows}
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc, r.item): r.score for r in find_leaks(docs, tests).collect()} == want
