@@ -11,6 +11,13 @@ left out or changed:
    word, a deletion variant with a whole line for a word put in or left out. Each key only needs its earliest line, so
    keys are aggregated before they are joined and no key's lines are paired with each other.
 3. The edit distance of every joined pair is verified on the words. A line goes if an earlier line is within the bound.
+
+With ``words_per_edit`` long lines may differ by more: by one edit for each so many words of the longer one.
+
+4. Two such lines share a run of RUN words, so they share an anchor: the least hash of the runs of ANCHOR_WORDS words in a
+   window, whatever stands around it. Anchors of one line only leave; the others are joined.
+5. Each line is verified against the earliest line of each of its anchors. What has no partner yet is verified against all
+   earlier lines with one of its anchors at a place and a length that the bound allows.
 """
 
 from __future__ import annotations
@@ -23,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bitmap, in_bitmap, stage
-from .kernels import Spans, Words, chunks, lists, mix, words_of
+from .kernels import Spans, Words, chunks, lists, mix, run_hashes, words_of
 
 NEAR_WORDS = 6
+#: Words of an anchor, and of a run that is sure to hold an anchor.
+ANCHOR_WORDS, RUN = 6, 13
 _SALT = np.uint64(0x51ED270B9F1A3C25)
 
 
@@ -108,6 +117,114 @@ def within_one(x: list[int], y: list[int]) -> bool:
     return x[i:] == y[i + 1 :] or len(x) == len(y) and x[i + 1 :] == y[i + 1 :]
 
 
+def within(x: list[int], y: list[int], bound: int) -> int | None:
+    """Word edit distance if it is at most ``bound``, by the furthest places that each number of edits reaches."""
+    n, m = len(x), len(y)
+    if abs(n - m) > bound:
+        return None
+    far: dict[int, int] = {}  # by diagonal (place in y less place in x): furthest place in x
+    for edits in range(bound + 1):
+        now = {}
+        for d in range(-edits, edits + 1):
+            i = max(far.get(d, -2) + 1, far.get(d + 1, -2) + 1, far.get(d - 1, -2)) if edits else 0
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and x[i] == y[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return edits
+            now[d] = i
+        far = now
+    return None
+
+
+def _anchors(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, hash) of the anchors of all lines of ``least`` or more words, in order."""
+    count = np.diff(w.first)
+    line = np.repeat(np.arange(len(count)), count)
+    g, window = run_hashes(w.hashes, ANCHOR_WORDS), RUN - ANCHOR_WORDS + 1
+    if len(w.hashes) < RUN:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    start = np.flatnonzero((line[: len(line) - RUN + 1] == line[RUN - 1 :]) & (count[line[: len(line) - RUN + 1]] >= least))
+    at = np.unique(start + np.lib.stride_tricks.sliding_window_view(g, window)[start].argmin(axis=1))
+    return line[at], at - w.first[line[at]], g[at]
+
+
+def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(anchor, h1): anchors of all lines of ``least`` or more words."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, _, w, s in _line_words(batch.column(0)):
+            line, _, anchor = _anchors(w, least)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(s.of(w.first[line], w.first[line + 1]).view(np.int64))], ["anchor", "h1"])
+
+    return arrow_map(docs.where(docs[id_col].isNotNull()).select(docs[text_col]), run, "anchor long, h1 long")
+
+
+def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, shared: DataFrame) -> DataFrame:
+    """(id, line, h1, h2, words, anchors, places) of lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "anchor"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for text, number, w, s in _line_words(batch.column(1)):
+            line, place, anchor = _anchors(w, least)
+            hit = in_bitmap(bits.value, anchor)
+            line, place, anchor = line[hit], place[hit], anchor[hit]
+            pick, begin = np.unique(line, return_index=True)
+            ends = list(zip(begin, np.append(begin[1:], len(line)), strict=True))
+            h1, h2, _ = _hashed(w, s)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(text[pick])),
+                    pa.array(number[pick].astype(np.int32)),
+                    *(pa.array(h[pick].view(np.int64)) for h in (h1, h2)),
+                    lists([w.hashes[w.first[i] : w.first[i + 1]] for i in pick], pa.int64()),
+                    lists([anchor[a:b] for a, b in ends], pa.int64()),
+                    lists([place[a:b] for a, b in ends], pa.int64()),
+                ],
+                ["id", "line", "h1", "h2", "words", "anchors", "places"],
+            )
+
+    ids = docs[id_col].cast("long")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, h1 long, h2 long, words array<long>, anchors array<long>, places array<long>")
+
+
+def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settled: DataFrame, place: Callable[[Column, Column], Column], words_per_edit: int) -> DataFrame:
+    """(at, keep, distance): lines with an earlier line within one edit for each ``words_per_edit`` words, two at least, less those of ``settled`` (at)."""
+    spark = docs.sparkSession
+    if 2 * words_per_edit < 3 * RUN:
+        raise ValueError(f"words_per_edit under {-(-3 * RUN // 2)}: near lines need not share a run of {RUN} words")
+    least = 2 * words_per_edit - 2  # of the shorter line, where the longer one has two edits
+    shared = _anchor_rows(docs, id_col, text_col, least).groupBy("anchor").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("anchor")
+    shared = stage(spark, shared, "anchors", narrow=True)
+    drawn = _anchored(docs, id_col, text_col, least, shared).withColumn("at", place(F.col("id"), F.col("line")))
+    wanted = classes.where(F.col("size") >= least).select("h1", "h2", "rep")
+    near = stage(spark, drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep)).select("at", "words", "anchors", "places").dropDuplicates(["at"]), "anchored")
+    held = near.select("at", F.size("words").alias("size"), F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("at", "size", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("p"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        seen = pairs.join(near.select("at", F.col("words").alias("x")), "at").join(near.select(F.col("at").alias("keep"), F.col("words").alias("y")), "keep").select("at", "keep", "x", "y")
+
+        def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            edits = [within(x, y, max(len(x), len(y)) // words_per_edit) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edits, pa.int32())], ["at", "keep", "distance"])
+            yield out.filter(out.column(2).is_valid())
+
+        kind = near.schema["at"].dataType.simpleString()
+        found = arrow_map(seen, verify, f"at {kind}, keep {kind}, distance int")
+        return found.groupBy("at").agg(F.min(F.struct("keep", "distance")).alias("b")).select("at", "b.keep", "b.distance")
+
+    firsts = held.groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last").select("anchor", "keep")
+    open_ = held.join(settled, "at", "left_anti")
+    first = stage(spark, verified(open_.join(firsts, "anchor").where("at <> keep").select("at", "keep").distinct()), "far-first")
+    rest = open_.join(first.select("at"), "at", "left_anti")
+    other = held.select(F.col("at").alias("keep"), F.col("size").alias("size2"), "anchor", F.col("p").alias("p2"))
+    bound = F.floor(F.greatest("size", "size2") / words_per_edit)
+    fits = (F.col("keep") < F.col("at")) & (F.abs(F.col("size") - F.col("size2")) <= bound) & (F.abs(F.col("p") - F.col("p2")) <= bound)
+    return first.union(verified(rest.join(other, "anchor").where(fits).select("at", "keep").distinct()))
+
+
 def _places(lines: DataFrame) -> tuple[Callable[[Column, Column], Column], Callable[[str], Column], Callable[[str], Column]]:
     """How a line's place (document, line) is one value in its order, and how to read it.
 
@@ -123,10 +240,11 @@ def _places(lines: DataFrame) -> tuple[Callable[[Column, Column], Column], Calla
     return (lambda i, n: F.struct(i.alias("id"), n.alias("line")), lambda c: F.col(c)["id"], lambda c: F.col(c)["line"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
     """(id, line, keep_id, keep_line, distance): each line that goes, and the earliest line that it repeats.
 
-    distance is 0 for an equal line and 1 for one within a word edit. Lines are numbered from 0 at each U+000A; lines
+    distance is 0 for an equal line and 1 for one within a word edit. With ``words_per_edit`` also lines of 2 * words_per_edit
+    or more words go, with their number of edits; the line named is an earlier one within the bound, not always the earliest. Lines are numbered from 0 at each U+000A; lines
     without words and rows without an id are never duplicates; null and empty texts have none. Rows with one id are one
     document: their equal lines of one number are one line. An empty table gives no rows.
     """
@@ -165,7 +283,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = seen.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), "x", "y")
     verified = arrow_map(flat, verify, "id long, line int, keep_id long, keep_line int").withColumn("keep", place(F.col("keep_id"), F.col("keep_line")))
     edited = verified.groupBy("id", "line").agg(F.min("keep").alias("keep")).select("id", "line", id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), F.lit(1).alias("distance"))
-    return exact.union(edited)
+    if words_per_edit is None:
+        return exact.union(edited)
+    edited = stage(spark, edited, "edited", narrow=True)
+    far = _far(docs, id_col, text_col, classes, edited.select(at.alias("at")), place, words_per_edit)
+    return exact.union(edited).union(far.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), "distance"))
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:

@@ -12,6 +12,7 @@ from .common import arrow_map, table
 
 SHARDS = 24
 HELD_OUT = 2
+WORDS_PER_EDIT = 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,7 +57,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import duplicate_lines
 
-    return duplicate_lines(table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
+    return duplicate_lines(table(spark, sf_dir, "documents"), words_per_edit=WORDS_PER_EDIT).withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

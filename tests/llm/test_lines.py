@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from corpuslens.llm.lines import NEAR_WORDS, drop_duplicate_lines, duplicate_lines, within_one
+from corpuslens.llm.lines import NEAR_WORDS, drop_duplicate_lines, duplicate_lines, within, within_one
 
 from ..conftest import TINY
 
@@ -77,3 +77,49 @@ def test_edges(spark):
     assert [r.doc_id for r in drop_duplicate_lines(df).collect() if r.text is None] == [3]
     assert drop_duplicate_lines(df).columns == df.columns
     assert duplicate_lines(df.limit(0)).count() == 0 and drop_duplicate_lines(df.limit(0)).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j - 1] + (x != y), row[j] + 1, now[-1] + 1))
+        row = now
+    return row[-1]
+
+
+def test_within_against_textbook():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a = list(rng.integers(0, 3, rng.integers(0, 12)))
+        b = list(rng.integers(0, 3, rng.integers(0, 12))) if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8]
+        for bound in range(6):
+            assert within(a, b, bound) == (edits(a, b) if edits(a, b) <= bound else None)
+
+
+def test_long_lines_bear_more_edits(spark):
+    rng = np.random.default_rng(10)
+    lines = []
+    for n in (38, 39, 40, 41, 59, 60, 61, 90, 130, 205):
+        base = [f"w{i}" for i in rng.integers(0, 300, n)]
+        lines.append(base)
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.integers(1, n // 20 + 3)):
+                k, at = rng.integers(3), rng.integers(len(x))
+                x[at : at + (k > 0)] = [] if k == 1 else [f"w{rng.integers(300)}"]
+            lines.append(x)
+        even = list(base)
+        for at in range(n // (n // 20 + 1), n, n // (n // 20 + 1) + 1)[: n // 20]:  # as far apart as can be
+            even[at] = "even"
+        lines.append(even)
+    order = rng.permutation(len(lines))
+    rows = [(i, " ".join(lines[k])) for i, k in enumerate(order)]
+    texts = [split(t)[0] for _, t in rows]
+    want = {i for i, x in enumerate(texts) if any(edits(x, y) <= max(1, max(len(x), len(y)) // 20) for y in texts[:i])}
+    got = duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words_per_edit=20).collect()
+    assert {r.id for r in got} == want and len(got) == len(want)
+    assert max(r.distance for r in got) > 3
+    for r in got:
+        assert r.keep_id < r.id and edits(texts[r.id], texts[r.keep_id]) == r.distance
