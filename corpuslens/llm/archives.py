@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_stream, scratch, stage
+from .common import arrow_map, arrow_stream, join_keyed, scratch, stage
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: An archive is closed when its records fill so many bytes.
 ARCHIVE_BYTES = 16 << 20
 #: Neighbouring records are read in one request up to this size.
 RANGE_BYTES = 4 << 20
+#: Tasks that read at most; each has as many ranges as it takes.
+TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -201,36 +203,39 @@ class ArchiveWriter:
         self.index.append(f"page {json.dumps({'id': key, 'filename': DATA.partition('/')[2], 'offset': self.data.tell(), 'length': len(packed)})}\n")
         self.data.write(packed)
 
-    def close(self) -> tuple[str, int]:
-        """Writes what was gathered; the file's path and its number of records."""
+    def close(self) -> tuple[str, int, int]:
+        """Writes what was gathered; the file's path, its number of records and its bytes of data."""
+        size = self.data.tell()
         path, count = f"{self.folder}/{self.name}-{self.number:05d}.zip", len(self.index)
         with self.files.open_output_stream(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as packed:
             for member, data in ((DATA, self.data.getbuffer()), (INDEX, "".join(self.index).encode())):
                 packed.writestr(zipfile.ZipInfo(member), data)
         self.number, self.data, self.index = self.number + 1, io.BytesIO(), []
-        return path, count
+        return path, count, size
 
 
 # --- tables --------------------------------------------------------------------------------------------------------
 
 
-def revisits(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(page, first): pages whose payload is that of a page with a smaller id. Rows without an id are never revisits."""
+def first_copies(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(sha, size, first, n): payloads that several rows have, with the smallest id. Rows without an id don't count."""
     html = F.coalesce(pages[html_col], F.lit(""))
-    prints = pages.where(pages[id_col].isNotNull()).select(pages[id_col].alias("page"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    firsts = prints.groupBy("sha", "size").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last").drop("last")
-    return prints.join(firsts, ["sha", "size"]).where("page <> first").select("page", "first").distinct()
+    prints = pages.where(pages[id_col].isNotNull()).select(pages[id_col].cast("long").alias("page"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
+    return prints.groupBy("sha", "size").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes one record for each row into archives in ``folder``; (path, records) of each archive, already written.
+    """Writes one record for each row into archives in ``folder``; (path, records, bytes) of each archive, already written.
 
-    A null html is an empty payload, a null URL no target, a null id an empty record id. Rows with one id and one payload
-    are a response each. An empty table writes no archive.
+    Of equal payloads, that with the smallest id is stored and the others refer to it. A null html is an empty payload, a
+    null URL no target, a null id an empty record id and a response of its own. Rows of one id are judged by their own
+    payload: equal ones are a response each where theirs is the smallest id. An empty table writes no archive.
     """
     spark = pages.sparkSession
-    again = revisits(pages, id_col, html_col)
-    rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].alias("url"), pages[html_col].alias("html")).join(again, "page", "left").select("page", "url", "html", "first")
+    firsts = stage(spark, first_copies(pages, id_col, html_col), "first-copies", narrow=True)
+    html = F.coalesce(pages[html_col], F.lit(""))
+    rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].alias("url"), pages[html_col].alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
+    rows = join_keyed(rows, firsts, ["sha", "size"], "n", "left").select("page", "url", "html", F.when(F.col("page") != F.col("first"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -243,13 +248,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     done.append(writer.close())
         if writer and writer.index:
             done.append(writer.close())
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], ["path", "records", "bytes"])
 
-    return stage(spark, arrow_stream(rows, run, "path string, records long"), "manifest")
+    return stage(spark, arrow_stream(rows, run, "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, and url, payload) of every record of the archives in column ``path``."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, and url, payload) of every record of the archives in column ``path``.
+
+    The directories and indexes are read first, then as many tasks as the records fill ranges read these.
+    """
+    spark = archives.sparkSession
 
     def ranges(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         files, _ = FileSystem.from_uri(folder)
@@ -258,9 +267,12 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                 found = list(locate(file, file.size()))
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["path", "offset", "length"])
 
-    places = arrow_map(archives.select("path"), ranges, "path string, offset long, length long")
+    places = stage(spark, arrow_map(archives.select("path"), ranges, "path string, offset long, length long"), "places", narrow=True)
+    size = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // RANGE_BYTES))
     block = F.floor(F.col("offset") / RANGE_BYTES)
-    dealt = places.withColumn("block", block).repartition("path", "block").sortWithinPartitions("path", "offset")
+    # by a given number of partitions: the rows are a few bytes each, what is read for them is not
+    dealt = places.withColumn("block", block).repartition(min(tasks, TASKS), "path", "block").sortWithinPartitions("path", "offset")
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"url": pa.string(), "payload": pa.binary()} if with_payload else {})
 
     def load(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

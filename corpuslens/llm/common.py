@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,20 @@ BATCH_ROWS = 512
 FILES, MERGE = 2, 16
 #: log2 of the bits of a membership bitmap: 2**25 bits are 4 MB whatever the input's size.
 BITMAP_BITS = 25
+#: A key is hot if it holds more than one of so many rows; there are never more hot keys than that.
+HOT = 1024
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
+    """The folder all executors see; a temporary one only in local mode (tests). On a cluster without one this raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -40,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corpuslens/{label}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), "corpuslens", *_scopes, f"{label}-{uuid.uuid4().hex}"])
 
 
 def stage(spark: SparkSession, df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
@@ -55,13 +61,46 @@ def stage(spark: SparkSession, df: DataFrame, label: str, narrow: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes every intermediate table of this session's shared folder; results must be written by then."""
+def drop_scratch(spark: SparkSession, folder: str | None = None) -> None:
+    """Removes every intermediate table of the shared folder, or of ``folder``; results must be written by then."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpuslens")
+    path = jvm.org.apache.hadoop.fs.Path(folder or f"{shared_dir(spark)}/corpuslens")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made inside are removed at the end; what was computed from them must be written by then."""
+    folder = scratch(spark, "scope")
+    _scopes.append(folder.rsplit("/", 1)[1])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        drop_scratch(spark, folder)
+
+
+def free_names(*taken: DataFrame, count: int) -> list[str]:
+    """Column names that none of the tables has, whatever the case of theirs."""
+    known = {c.lower() for df in taken for c in df.columns}
+    return [f"__{i}" for i in range(count + len(known)) if f"__{i}" not in known][:count]
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, a staged table with one row for each key; ``size`` says how many of the rows hold it.
+
+    A key that holds more than one row in HOT doesn't meet in one task: such keys are at most HOT, so they are
+    broadcast, the others are joined by whatever Catalyst picks. Keys must not be null.
+    """
+    whole = keyed.agg(F.sum(size), F.max(size)).first()
+    if whole[0] is None or whole[1] * HOT <= whole[0]:
+        return rows.join(keyed.drop(size), on, how)
+    hot = F.col(size) * HOT > whole[0]
+    often = F.broadcast(keyed.where(hot).drop(size))
+    rare = rows.join(F.broadcast(keyed.where(hot).select(on)), on, "left_anti").join(keyed.where(~hot).drop(size), on, how)
+    return rows.join(often, on).unionByName(rare)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +123,7 @@ def arrow_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def _short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS and leaves them so: Spark reads the setting when a plan runs, which is up to the caller."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

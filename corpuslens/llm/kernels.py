@@ -12,7 +12,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; the kernels need about 60 bytes of memory for each. A longer text is a chunk by itself.
+#: Bytes handled at once. A longer text is a chunk by itself, but is hashed in pieces of this size: beside some five bytes of
+#: memory for each of its bytes and 24 for each of its words, only a piece needs more.
 CHUNK = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -123,12 +124,27 @@ def words_of(rows: range, raw: np.ndarray, offsets: np.ndarray, space: np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs starts..ends-1, equal for equal runs anywhere."""
+    """64-bit hashes of the byte runs starts..ends-1, in order and apart, equal for equal runs anywhere."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
+        low, high = starts[at], ends[to - 1]
+        if high - low <= CHUNK:
+            out[at:to] = _span_sums(data[low:high], starts[at:to] - low, ends[at:to] - low)
+        else:  # one run of more than CHUNK bytes: the sums of its pieces, each moved to its place
+            pieces = (_span_sums(data[a : min(a + CHUNK, high)], np.array([0]), np.array([min(CHUNK, high - a)]))[0] * np.uint64(pow(int(_P), int(a - low), 1 << 64)) for a in range(low, high, CHUNK))
+            out[at] = np.array(list(pieces), np.uint64).sum(dtype=np.uint64)
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _span_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     power, inverse = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return (total[ends] - total[starts]) * inverse[starts]
 
 
 def shingle_sets(w: Words, n: int = 5) -> Iterator[np.ndarray]:

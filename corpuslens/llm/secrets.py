@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +36,9 @@ ASSIGN = re.compile(rf"(?:{_ANY_CASE})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of under 20 characters holds no longer one, so the bound may stand in the pattern
 HEX = re.compile(r"[0-9a-f]{24,}")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}={0,2}")
-ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/?#\"'<>]{3,}|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b")
+# the run before a port is taken once and whole, so that no text is read more than a few times
+ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/?#\"'<>]{3,}|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]++:[0-9]{2,5}\b")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ACCOUNT = re.compile(r"\b(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 KINDS = ("assign", "access", "hex", "opaque", "endpoint", "account")
@@ -53,6 +56,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def endpoint_spans(text: str) -> list[tuple[int, int, str]]:
+    found = []
+    for m in ENDPOINT.finditer(text):
+        begin = m.start()
+        if "://" not in m[0]:
+            run = m[0][: m[0].index(":")]
+            host = run[run.rfind("..") + 2 if ".." in run else 0 :].lstrip(".")
+            if not HOST.fullmatch(host):
+                continue
+            begin += len(run) - len(host)
+        found.append((begin, m.end(), "endpoint"))
+    return found
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak candidates whose complementary parts share a scope: an interval join by binary search."""
     accounts = [(m.start(1), m.end(1), "account") for m in ACCOUNT.finditer(text)] if ":" in text or "=" in text else []
@@ -61,18 +78,22 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     strong = [s for s in base if s[2] != "access"]
     taken = sorted(base)
-    free = lambda s: not any(b[0] < s[1] and s[0] < b[1] for b in _near(taken, s[0], s[1]))
-    opaque = [s for m in OPAQUE.finditer(text) if free(s := (m.start(), m.end(), "opaque"))]
-    endpoints = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    secrets, endpoints = sorted(strong + opaque), sorted(endpoints)
+    # furthest end of all base spans up to each: a base span that began earlier may cover many later ones
+    reach = list(accumulate((b[1] for b in taken), max))
+    opaque = []
+    for m in OPAQUE.finditer(text):
+        i = bisect_left(taken, (m.end(),))
+        if not i or reach[i - 1] <= m.start():
+            opaque.append((m.start(), m.end(), "opaque"))
+    secrets, endpoints = sorted(strong + opaque), sorted(endpoint_spans(text))
     walls = [m.start() for m in BLANK.finditer(text)]
     out: set[tuple[int, int, str]] = set()
     for anchor in anchors:
         i = bisect_left(walls, anchor[0])
         low = max(anchor[0] - SCOPE, walls[i - 1] if i else 0)
         high = min(anchor[1] + SCOPE, walls[i] if i < len(walls) else len(text))
-        parts = [s for s in _near(secrets, low, high) if s[0] >= low and s[1] <= high and not (s[0] < anchor[1] and anchor[0] < s[1])]
-        places = [s for s in _near(endpoints, low, high) if s[0] >= low and s[1] <= high]
+        parts = [s for s in _inside(secrets, low, high) if not (s[0] < anchor[1] and anchor[0] < s[1])]
+        places = _inside(endpoints, low, high)
         if anchor[2] == "access":
             out.update(s for s in parts if s[2] == "opaque")
         if parts and places:
@@ -83,10 +104,9 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     return list(out)
 
 
-def _near(spans: list[tuple[int, int, str]], low: int, high: int) -> list[tuple[int, int, str]]:
-    """Those of the sorted spans that may meet [low, high): of one kind they never overlap, so one step back per kind is enough."""
-    i = max(0, bisect_left(spans, (low,)) - len(KINDS))
-    return spans[i : bisect_left(spans, (high,))]
+def _inside(spans: list[tuple[int, int, str]], low: int, high: int) -> list[tuple[int, int, str]]:
+    """Those of the sorted spans that lie in [low, high)."""
+    return [s for s in spans[bisect_left(spans, (low,)) : bisect_left(spans, (high,))] if s[1] <= high]
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

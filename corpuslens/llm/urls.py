@@ -1,11 +1,11 @@
 """Operator 2: URL filter by the ratio of two character language models.
 
 URLs that a rule decides teach two smoothed variable-order Markov models, one of accepted and one of rejected URLs:
-Witten-Bell interpolation from contexts of ORDER characters down to none. A URL that no rule fits is judged by the
+Witten-Bell interpolation from contexts of ORDER characters down to none, over the whole URL. A URL that no rule fits is judged by the
 difference of the models' log-likelihoods, divided by its length, against a threshold calibrated on rule-decided URLs
 that the models have not seen.
 
-Counts are those of all URLs: the n-grams of the whole table are aggregated on the executors, the model is a table with
+Counts are those of all rows, repeated URLs as often as they occur: the n-grams of the whole table are aggregated on the executors, the model is a table with
 a row for each n-gram (it grows with the input and is never collected or broadcast by hand), and scoring is a join.
 Log-ratios are kept in millionths as whole numbers, so sums do not depend on their order.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_names, join_keyed, stage
 
 ORDER = 4
 #: Characters that the lowest-order model shares its mass over.
@@ -28,15 +28,19 @@ BIN = 1000
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ://; empty for null or without it."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)", 1), F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_rest(url), r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    """What follows the host up to ?, # or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    """What follows the host up to ?, # or the end; nothing that stands behind one of these is path."""
+    return F.regexp_extract(_rest(url), r"^[^/?#]*+(/[^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -56,65 +60,74 @@ def _grams(text: Column) -> Column:
 
 
 def model(urls: DataFrame) -> DataFrame:
-    """(gram, ratio): for each n-gram of ``urls`` (text, accepted, rejected: 0 or 1 each) log P_accepted - log P_rejected in units."""
-    spark = urls.sparkSession
-    top = urls.select(F.explode(_grams(F.col("text"))).alias("gram"), "accepted", "rejected").groupBy("gram").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
-    top = stage(spark, top, "grams")
-    orders = F.sequence(F.lit(1), F.lit(ORDER + 1))
-    parts = top.withColumn("k", F.explode(orders)).withColumn("part", F.expr("right(gram, k)"))
-    counts = parts.groupBy("k", "part").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-    counts = stage(spark, counts.withColumn("context", F.expr("left(part, k - 1)")), "counts")
-    contexts = counts.groupBy("k", "context").agg(
-        F.sum("a").alias("na"), F.sum("r").alias("nr"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("r") > 0).cast("long")).alias("tr")
-    )
-    stats = counts.join(contexts, ["k", "context"]).select("k", "part", "a", "r", "na", "nr", "ta", "tr")
-    levels = parts.select("gram", "k", "part").join(stats, ["k", "part"]).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "a", "r", "na", "nr", "ta", "tr"))).alias("levels"))  # ORDER + 1 of them
+    """(gram, ratio, n): for each n-gram of ``urls`` (text, n, accepted, rejected) log P_accepted - log P_rejected in units.
 
-    def chance(n: str, total: str, kinds: str) -> Column:
-        return F.aggregate("levels", F.lit(1.0 / ALPHABET), lambda p, x: F.when(x[total] + x[kinds] == 0, p).otherwise((x[n] + x[kinds] * p) / F.greatest(x[total] + x[kinds], F.lit(1))))
-
-    ratio = F.log(chance("a", "na", "ta")) - F.log(chance("r", "nr", "tr"))
-    return levels.select("gram", F.round(ratio * UNIT).cast("long").alias("ratio"))
+    n, accepted and rejected say how many rows have the text, and how many of them teach either model. An order's chances
+    are joined with the next order's by its suffix, which as many n-grams share as there are characters.
+    """
+    spark = urls.sparkSession
+    sums = [F.sum(c).alias(c) for c in ("n", "a", "r")]
+    grams = urls.select(F.explode(_grams(F.col("text"))).alias("gram"), "n", F.col("accepted").alias("a"), F.col("rejected").alias("r"))
+    top = stage(spark, grams.groupBy("gram").agg(*sums), "grams")
+    parts = top.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1)))).withColumn("part", F.expr("right(gram, k)"))
+    counts = stage(spark, parts.groupBy("k", "part").agg(*sums), "counts", narrow=True)
+    chances = spark.range(1).select(F.lit("").alias("suffix"), F.lit(1.0 / ALPHABET).alias("pa"), F.lit(1.0 / ALPHABET).alias("pr"))
+
+    def chance(x: str) -> Column:
+        total = F.col("n" + x) + F.col("t" + x)
+        return F.when(total == 0, F.col("p" + x)).otherwise((F.col(x) + F.col("t" + x) * F.col("p" + x)) / F.greatest(total, F.lit(1))).alias("p" + x)
+
+    for k in range(1, ORDER + 2):
+        own = counts.where(F.col("k") == k).select("part", "n", "a", "r", F.expr("left(part, k - 1)").alias("context"), F.expr("right(part, k - 1)").alias("suffix"))
+        contexts = own.groupBy("context").agg(F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr"))
+        chances = own.join(contexts, "context").join(chances, "suffix").select(F.col("part").alias("suffix"), "n", chance("a"), chance("r"))
+        if k <= ORDER:
+            chances = chances.drop("n")
+    return chances.select(F.col("suffix").alias("gram"), F.round((F.log("pa") - F.log("pr")) * UNIT).cast("long").alias("ratio"), "n")
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, score (log-likelihood difference a character).
 
-    A null or empty URL, and one without ://, has empty host and path and is scored as an empty text. Repeated rows are
-    judged alike; an empty table gives no rows. Without rule-decided URLs of both kinds the threshold is 0. Columns of
-    ``pages`` with the new names must not exist.
+    The rules see host and path, the models the whole URL, as often as it occurs. A null URL is an empty text; it and one
+    without :// have empty host and path. Repeated rows are judged alike; an empty table gives no rows. Without
+    rule-decided URLs of both kinds the threshold is 0. Columns of ``pages`` that have one of the new names are an error.
     """
     spark = pages.sparkSession
-    url = F.col(url_col)
+    clash = {c.lower() for c in pages.columns} & {"host", "path", "rule", "verdict", "score"}
+    if clash:
+        raise ValueError(f"columns of the table have names of the result: {', '.join(sorted(clash))}")
+    said, text, u, v, known = free_names(pages, count=5)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("rule", rule).withColumn("_said", verdict)
-    text = F.concat("host", "path")
+    ruled = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col))).withColumn("rule", rule).withColumn(said, verdict)
     # two hashes stand for the text: all that follows is the same for equal texts
-    keyed = ruled.withColumns({"_u": F.xxhash64(text), "_v": F.xxhash64(F.lit("v"), text)})
-    fold = F.pmod(F.col("_v"), F.lit(FOLDS))
-    distinct = keyed.select(text.alias("text"), "_u", "_v", "_said").groupBy("_u", "_v").agg(F.min("text").alias("text"), F.min("_said").alias("_said"))
-    distinct = stage(spark, distinct, "urls")
-    learn = fold != 0
-    ratios = model(distinct.select("text", (learn & F.col("_said").eqNullSafe("allow")).cast("int").alias("accepted"), (learn & F.col("_said").eqNullSafe("block")).cast("int").alias("rejected")))
-    hashed = ratios.select(F.xxhash64("gram").alias("g"), F.xxhash64(F.lit("g"), "gram").alias("g2"), "ratio")
-    shown = distinct.select("_u", "_v", "_said", F.explode(_grams(F.col("text"))).alias("gram")).select("_u", "_v", "_said", F.xxhash64("gram").alias("g"), F.xxhash64(F.lit("g"), "gram").alias("g2"))
-    scored = shown.join(hashed, ["g", "g2"]).groupBy("_u", "_v").agg(F.sum("ratio").alias("_sum"), F.count("*").alias("_n"), F.min("_said").alias("_said"))
-    scored = stage(spark, scored.select("_u", "_v", "_said", F.expr("_sum div _n").alias("_mean")), "url-scores")
+    ruled = ruled.withColumn(text, F.coalesce(F.col(url_col), F.lit("")))
+    keyed = ruled.withColumns({u: F.xxhash64(text), v: F.xxhash64(F.lit("v"), F.col(text))}).drop(text)
+    named = keyed.select(F.coalesce(F.col(url_col), F.lit("")).alias("text"), F.col(u).alias("u"), F.col(v).alias("v"), F.col(said).alias("said"))
+    distinct = stage(spark, named.groupBy("u", "v").agg(F.min("text").alias("text"), F.min("said").alias("said"), F.count("*").alias("n")), "urls")
+    fold = F.pmod(F.col("v"), F.lit(FOLDS))
+    taught = lambda kind: F.when((fold != 0) & (F.col("said") == kind), F.col("n")).otherwise(0).cast("long")
+    ratios = model(distinct.select("text", "n", taught("allow").alias("accepted"), taught("block").alias("rejected")))
+    prints = [F.xxhash64("gram").alias("g"), F.xxhash64(F.lit("g"), "gram").alias("g2")]
+    ratios = stage(spark, ratios.select(*prints, "ratio", "n"), "ratios", narrow=True)
+    shown = distinct.select("u", "v", "said", "n", F.explode(_grams(F.col("text"))).alias("gram")).select("u", "v", "said", F.col("n").alias("rows"), *prints)
+    sums = join_keyed(shown, ratios, ["g", "g2"], "n").groupBy("u", "v").agg(F.sum("ratio").alias("sum"), F.count("*").alias("grams"), F.min("said").alias("said"), F.min("rows").alias("n"))
+    scored = stage(spark, sums.select("u", "v", "said", "n", F.expr("sum div grams").alias("mean")), "url-scores", narrow=True)
     cut = threshold(scored.where(fold == 0))
-    result = keyed.join(scored.select("_u", "_v", "_mean"), ["_u", "_v"], "left")
-    decided = F.coalesce("_said", F.when(F.col("_mean") >= cut, "allow").otherwise("block"))
-    return result.withColumn("verdict", decided).withColumn("score", F.col("_mean") / UNIT).drop("_u", "_v", "_mean", "_said")
+    result = join_keyed(keyed, scored.select(F.col("u").alias(u), F.col("v").alias(v), F.col("mean").alias(known), "n"), [u, v], "n")
+    decided = F.coalesce(F.col(said), F.when(F.col(known) >= cut, "allow").otherwise("block"))
+    return result.withColumn("verdict", decided).withColumn("score", F.col(known) / UNIT).select(*pages.columns, "host", "path", "rule", "verdict", "score")
 
 
 def threshold(scored: DataFrame) -> int:
-    """The mean ratio that parts accepted from rejected URLs best, both kinds weighing the same; 0 without one kind.
+    """The mean ratio that parts accepted from rejected URLs (mean, said, n rows) best, both kinds weighing the same; 0 without one kind.
 
     A histogram reaches the driver; log-ratios are bounded by the smoothing, so its bins are too.
     """
     bins = (
-        scored.where("_said is not null")
-        .groupBy(F.floor(F.col("_mean") / BIN).alias("b"))
-        .agg(F.count_if(F.col("_said") == "allow").alias("a"), F.count_if(F.col("_said") == "block").alias("r"))
+        scored.where("said is not null")
+        .groupBy(F.floor(F.col("mean") / BIN).alias("b"))
+        .agg(F.sum(F.when(F.col("said") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("said") == "block", F.col("n")).otherwise(0)).alias("r"))
         .orderBy("b")
         .collect()
     )
@@ -133,5 +146,7 @@ def threshold(scored: DataFrame) -> int:
 
 
 def keep_allowed(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
-    """Those of ``pages`` that are judged ``allow``, with their own columns."""
-    return judge(pages, url_col, rules).where("verdict = 'allow'").select(pages.columns)
+    """Those of ``pages`` that are judged ``allow``, with their own columns, whatever their names."""
+    own = free_names(pages, count=len(pages.columns))
+    judged = judge(pages.toDF(*own), own[pages.columns.index(url_col)], rules)
+    return judged.where("verdict = 'allow'").select(own).toDF(*pages.columns)

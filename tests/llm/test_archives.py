@@ -85,3 +85,26 @@ def test_many_archives(spark, monkeypatch):
     made = A.write_archives(df.coalesce(2), folder)
     assert made.agg({"records": "sum"}).first()[0] == 300
     assert sorted(r.page_id for r in A.read_archives(made, folder).collect()) == list(range(300))
+
+
+def test_one_id_with_several_payloads(spark):
+    rows = [(3, "AAA"), (5, "AAA"), (5, "BBBBB"), (9, "BBBBB"), (9, "AAA"), (None, "AAA"), (5, "AAA")] + [(i, "hot") for i in range(20, 60)]
+    df = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    folder = A.scratch(spark, "t")
+    got = A.read_archives(A.write_archives(df, folder), folder, with_payload=True).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, h in rows:
+        first = min(j for j, x in rows if x == h and j is not None)
+        want.append((i or 0, A.digest(h.encode()), "revisit" if i is not None and i != first else "response", first if i is not None and i != first else None))
+    assert sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want, key=lambda x: x[:3])
+    stored = {(r.page_id, r.payload_digest): bytes(r.payload).decode() for r in got if r.payload is not None}
+    # every payload can be read where its record refers to
+    assert all(stored[(r.refers_to or r.page_id, r.payload_digest)] in ("AAA", "BBBBB", "hot") for r in got)
+
+
+def test_ranges_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(A, "RANGE_BYTES", 20_000)
+    df = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id AS string), 512), 30) AS html")
+    back = A.round_trip(df)
+    assert back.count() == 200 and back.rdd.getNumPartitions() > 2
