@@ -133,8 +133,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         if high - low <= CHUNK:
             out[at:to] = _span_sums(data[low:high], starts[at:to] - low, ends[at:to] - low)
         else:  # one run of more than CHUNK bytes: the sums of its pieces, each moved to its place
-            pieces = (_span_sums(data[a : min(a + CHUNK, high)], np.array([0]), np.array([min(CHUNK, high - a)]))[0] * np.uint64(pow(int(_P), int(a - low), 1 << 64)) for a in range(low, high, CHUNK))
-            out[at] = np.array(list(pieces), np.uint64).sum(dtype=np.uint64)
+            places = range(low, high, CHUNK)
+            sums = np.concatenate([_span_sums(data[a : min(a + CHUNK, high)], np.array([0]), np.array([min(CHUNK, high - a)])) for a in places])
+            out[at] = (sums * np.array([pow(int(_P), int(a - low), 1 << 64) for a in places], np.uint64)).sum(dtype=np.uint64)
         at = to
     return mix(out + (ends - starts).astype(np.uint64))
 

@@ -4,9 +4,10 @@ A document is a bag of passages of PASSAGE words. Every passage is encoded: the
 frequencies (hashed to PAIRS), with three numbers on its shape, go through a learned layer. Gated attention (Ilse et al., 2018) weights the passages,
 and the weighted representation is scored. All layers are learned from document labels alone.
 
-Fitting takes a bounded sample: at most SAMPLE labelled documents, those with the smallest id hashes, and at most BAG
-evenly spaced passages of each; it runs on the driver, whose memory it needs does not depend on the corpus. Scoring
-reads every passage of every text. Labels, language, source and id are never inputs of a score.
+Fitting takes a bounded sample of labelled documents: those with the smallest id hashes, at most SAMPLE, and as many of
+them as have BOUND passages together; every passage of a sampled document is used. Fitting runs on the driver, whose
+memory it needs (about 1 KB a passage) does not depend on the corpus. Scoring reads every passage of every text. Labels,
+language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
-from .kernels import mix, words
+from .common import arrow_map, free_names, stage
+from .kernels import CHUNK, mix, words
 
 PASSAGE, PAIRS, HIDDEN, GATE = 64, 256, 32, 16
 FEATURES = PAIRS + 3
-SAMPLE, BAG, EPOCHS, RATE = 4000, 16, 30, 0.004
+SAMPLE, BOUND, EPOCHS, RATE = 4000, 100_000, 30, 0.004
+#: Passages that are encoded at once, and of one row of the encoded sample.
+PIECE = 1024
 #: Small samples are passed over more often, for so many updates at least.
 UPDATES = 1000
 _BUCKET = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(99)) % np.uint64(PAIRS)).astype(np.int64)
@@ -34,7 +37,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def encode(column: pa.Array, most: int | None = None) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+def encode(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
     """Rows, passage features and where each row's passages begin. A text without words is one passage of zeros."""
     for w in words(column):
         count = np.diff(w.first)
@@ -49,23 +52,37 @@ def encode(column: pa.Array, most: int | None = None) -> Iterator[tuple[range, n
         last = begin[1:] - 1
         ends[last] = w.offsets[1:]
         size = np.where(full, np.maximum(ends - starts - 1, 0), 0)
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        pair = (w.data[at].astype(np.int64) << 8) | w.data[at + 1] if len(at) else at
-        counts = np.bincount(np.repeat(np.arange(len(size)), size) * PAIRS + _BUCKET[pair], minlength=len(size) * PAIRS).reshape(len(size), PAIRS)
         # shape: words that repeat the one before, words of the passage, share of the fullest byte pair
         first, held = np.minimum(word, len(w.starts)), np.where(full, np.minimum(np.repeat(w.first[1:], passages) - word, PASSAGE), 0)
         again = np.zeros(len(w.starts) + 1)
         if len(w.starts) > 1:
             np.cumsum(w.hashes[1:] == w.hashes[:-1], out=again[2:])
         repeats = again[np.where(held > 0, first + held, 0)] - again[np.where(held > 0, first + 1, 0)]
-        shape = np.stack((repeats / np.maximum(held, 1), held / PASSAGE, counts.max(axis=1) / np.maximum(size, 1)), axis=1)
-        x = np.concatenate((np.sqrt(counts / np.maximum(size, 1)[:, None]), shape), axis=1).astype(np.float32)
-        if most:
-            keep = np.concatenate([b + np.unique(np.linspace(0, p - 1, most).astype(int)) for b, p in zip(begin[:-1], passages, strict=True)])
-            x, begin = x[keep], np.searchsorted(keep, begin)
+        x = np.empty((len(size), FEATURES), np.float32)
+        for at in range(0, len(size), PIECE):
+            part = slice(at, at + PIECE)
+            counts = _pair_counts(w.data, starts[part], size[part])
+            most = np.maximum(size[part], 1)
+            x[part, :PAIRS] = np.sqrt(counts / most[:, None])
+            x[part, PAIRS:] = np.stack((repeats[part] / np.maximum(held[part], 1), held[part] / PASSAGE, counts.max(axis=1) / most), axis=1)
         yield w.rows, x, begin
 
 
+def _pair_counts(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(passages, PAIRS): hashed byte pairs of the bytes from each start."""
+    out = np.zeros((len(size), PAIRS), np.int64)
+    small = size <= CHUNK
+    at = np.repeat((starts - np.concatenate(([0], np.cumsum(size * small)[:-1])))[small], size[small]) + np.arange((size * small).sum())
+    if len(at):
+        pair = (data[at].astype(np.int64) << 8) | data[at + 1]
+        out += np.bincount(np.repeat(np.arange(len(size)), size * small) * PAIRS + _BUCKET[pair], minlength=len(size) * PAIRS).reshape(out.shape)
+    for i in np.flatnonzero(~small):  # a passage of words of megabytes, counted piece by piece
+        for a in range(starts[i], starts[i] + size[i], CHUNK):
+            b = min(a + CHUNK, starts[i] + size[i])
+            out[i] += np.bincount(_BUCKET[(data[a:b].astype(np.int64) << 8) | data[a + 1 : b + 1]], minlength=PAIRS)
+    return out
+
+
 class Model:
     """Encoder, gated attention and score, with their gradients."""
 
@@ -118,30 +135,46 @@ class Model:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of ``labels`` (0 or 1) on documents that are not held out. Ids with both labels or none are not used."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bound: int = BOUND) -> Model:
+    """A model of ``labels`` (0 or 1) on documents that are not held out. Ids with both labels or none are not used.
+
+    Unlike texts of one id are a bag each, equal ones one bag. Without any labelled document the model is the untrained one.
+    """
+    spark = docs.sparkSession
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
-    drawn = ids.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("_id"), F.col("y").cast("int").alias("_y"))
+    # at most ``sample`` rows, so the broadcast is bounded
+    drawn = F.broadcast(ids.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("known"), F.xxhash64(id_col).alias("place"), F.col("y").cast("int").alias("y")))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    text = texts.join(drawn, texts["id"] == drawn["known"]).select("place", F.xxhash64("text").alias("print"), "y", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for rows, x, begin in encode(batch.column(2), BAG):
-            cut = slice(rows.start, rows.stop)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], ["id", "y", "x"])
-
-    # at most ``sample`` rows, so the broadcast is bounded
-    text = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("_y").alias("y"), docs[text_col].alias("text"))
-    got = arrow_map(text, run, "id long, y int, x binary").toArrow()
-    order = np.argsort(got["id"].to_numpy(), kind="stable")
-    bags = [np.frombuffer(got["x"][int(i)].as_py(), np.float16).reshape(-1, FEATURES) for i in order]
-    y = got["y"].to_numpy()[order].astype(np.float32)
-    return Model().fit(bags, y) if len(bags) else Model()
+        for rows, x, begin in encode(batch.column(3)):
+            for i, row in enumerate(rows):
+                for at in range(begin[i], begin[i + 1], PIECE):
+                    piece = x[at : min(at + PIECE, begin[i + 1])]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(row, 1) for c in batch.columns[:3]), pa.array([int(at - begin[i])], pa.int64()), pa.array([len(piece)], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["place", "print", "y", "at", "passages", "x"])
+
+    encoded = stage(spark, arrow_map(text, run, "place long, print long, y int, at long, passages long, x binary"), "sample")
+    pieces = encoded.dropDuplicates(["place", "print", "at"])
+    sizes = pieces.groupBy("place", "print").agg(F.sum("passages").alias("passages")).orderBy("place", "print").toArrow()
+    last = int(np.searchsorted(np.cumsum(sizes["passages"].to_numpy()), bound, "right")) - 1
+    if last < 0:
+        return Model()
+    end = F.struct(*[F.lit(sizes[c][last].as_py()) for c in ("place", "print")])
+    got = pieces.where(F.struct("place", "print") <= end).toArrow().sort_by([(c, "ascending") for c in ("place", "print", "at")])
+    begin = np.flatnonzero(got["at"].to_numpy() == 0)
+    x = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, FEATURES) for c in got["x"].chunks for b in c]
+    bags = [np.concatenate(x[a:b]) if b - a > 1 else x[a] for a, b in zip(begin, np.append(begin[1:], len(x)), strict=True)]
+    return Model().fit(bags, got["y"].to_numpy()[begin].astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col``: 0 to 1 from every passage of the whole text, null and empty texts included.
 
-    Other columns pass unchanged; the name ``score_col`` must be free.
+    Other columns pass unchanged; a column of the name ``score_col`` is an error.
     """
+    if score_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {score_col}")
     at = docs.columns.index(text_col)
     known = docs.sparkSession.sparkContext.broadcast(model.p)
 
@@ -160,7 +193,8 @@ def _with(docs: DataFrame, name: str):
     return StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text", **options) -> DataFrame:
     """Those of ``docs`` that score ``threshold`` or more."""
-    scored = score(docs, fit(docs, labels, **options), score_col="_score")
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    (name,) = free_names(docs, count=1)
+    scored = score(docs, fit(docs, labels, text_col=text_col, **options), text_col, name)
+    return scored.where(F.col(name) >= threshold).drop(name)
