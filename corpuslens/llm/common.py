@@ -122,6 +122,25 @@ def arrow_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(fn, schema)
 
 
+def join_salted(rows: DataFrame, keyed: DataFrame, on: str, by: str) -> DataFrame:
+    """``rows``, a staged table, inner joined with ``keyed``, which has one row for each key and may have wide ones.
+
+    Rows of a hot key are dealt by their column ``by`` to as many copies of the key's row as the key is times hotter than
+    one in HOT; all copies together are under 2 * HOT. Keys must not be null.
+    """
+    copies, salt = free_names(rows, keyed, count=2)
+    counts = rows.groupBy(on).agg(F.count("*").alias(copies))
+    total = rows.count()
+    hot = counts.where(F.col(copies) * HOT > total).select(on, F.ceil(F.col(copies) * HOT / max(total, 1)).cast("int").alias(copies)).toArrow()
+    if not len(hot):
+        return rows.join(keyed, on)
+    spark = rows.sparkSession
+    known = F.broadcast(spark.createDataFrame(hot))
+    left = rows.join(known, on, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), F.col(copies)), F.lit(0)).cast("int")).drop(copies)
+    right = keyed.join(known, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copies), F.lit(1)) - 1))).drop(copies)
+    return left.join(right, [on, salt]).drop(salt)
+
+
 def _short_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to BATCH_ROWS and leaves them so: Spark reads the setting when a plan runs, which is up to the caller."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -12,14 +12,17 @@ A copy is found if n words in a row are intact anywhere, or n + 1 with one edit
 copies without either score at most about 2/3 (a word put in after the second, third, fifth, sixth, ... word); these may
 be missed.
 
-Words are runs of letters, digits and non-ASCII characters in lower case; ASCII punctuation parts words and is not compared. Items
-of under n words have no n-gram and are never found.
+No seed is left out for being frequent, as at the threshold any may be the only one that an edited copy shares; frequent
+seeds and items are spread over tasks instead.
+
+Words are runs of letters, digits and non-ASCII characters in lower case; ASCII punctuation parts words and is not compared.
+An item of under n words has no n-gram; it is leaked by documents that have just its words.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bitmap, in_bitmap, stage
+from .common import arrow_map, bitmap, in_bitmap, join_salted, stage
 from .kernels import PUNCTUATION, Words, lists, mix, words
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
+#: Runs that are hashed at once.
+PIECE = 1 << 18
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def seed_hits(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, text, gram): first word, text and hash of all seeds of a chunk, ordered by word.
+def seed_hits(w: Words, n: int, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text, gram): first word, text and hash of all seeds of a chunk, or of those that ``keep`` marks, ordered by word.
 
     Seeds are n words in a row, n + 1 in a row, and n + 1 of n + 2 with an inner one skipped.
     """
@@ -46,14 +51,18 @@ def seed_hits(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, grams = [], []
     for form in forms:
         m = len(h) - form[-1]
-        if m <= 0:
-            continue
-        inside = np.flatnonzero(text[:m] == text[form[-1] :])
-        g = np.zeros(m, np.uint64)
-        for k in form:
-            g = g * _STEP + h[k : k + m]
-        at.append(inside)
-        grams.append(mix(g + np.uint64(len(form)))[inside])
+        for low in range(0, m, PIECE):  # of long texts only the seeds that are kept are held
+            high = min(low + PIECE, m)
+            g = np.zeros(high - low, np.uint64)
+            for k in form:
+                g = g * _STEP + h[k + low : k + high]
+            g = mix(g + np.uint64(len(form)))
+            inside = text[low:high] == text[form[-1] + low : form[-1] + high]
+            if keep is not None:
+                inside &= keep(g)
+            inside = np.flatnonzero(inside)
+            at.append(inside + low)
+            grams.append(g[inside])
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     word = np.concatenate(at)
@@ -88,21 +97,23 @@ def _regions(docs: DataFrame, id_col: str, text_col: str, n: int, seeds: DataFra
     upper = seeds.select(F.shiftrightunsigned("gram", 32).alias("gram"))
     bits = docs.sparkSession.sparkContext.broadcast((bitmap(seeds, "gram"), bitmap(upper, "gram")))
 
+    def known(g: np.ndarray) -> np.ndarray:
+        mask = in_bitmap(bits.value[0], g)
+        mask[mask] = in_bitmap(bits.value[1], g[mask] >> np.uint64(32))
+        return mask
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = 0
         for w in words(pc.utf8_lower(batch.column(1)), PUNCTUATION):
-            word, text, g = seed_hits(w, n)
-            hit = np.flatnonzero(in_bitmap(bits.value[0], g))
-            hit = hit[in_bitmap(bits.value[1], g[hit] >> np.uint64(32))]
-            word, text = word[hit], text[hit]
-            cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(word) > 2 * reach)) + 1 if len(hit) else []
+            word, text, g = seed_hits(w, n, known)
+            cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(word) > 2 * reach)) + 1 if len(g) else []
             rows: list[list] = [[], [], [], []]
-            for a, b in zip(np.concatenate(([0], cut)).astype(int), np.append(cut, len(hit)).astype(int), strict=True):
+            for a, b in zip(np.concatenate(([0], cut)).astype(int), np.append(cut, len(g)).astype(int), strict=True):
                 if a == b:
                     continue
                 low, high = w.first[text[a]], w.first[text[a] + 1]
                 begin, end = max(low, word[a] - reach), min(high, word[b - 1] + n + 2 + reach)
-                for column, value in zip(rows, (at + text[a], begin - low, w.hashes[begin:end], np.unique(g[hit[a:b]])), strict=True):
+                for column, value in zip(rows, (at + text[a], begin - low, w.hashes[begin:end], np.unique(g[a:b])), strict=True):
                     column.append(value)
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), pa.array(rows[1], pa.int64()), lists(rows[2], pa.int64()), lists(rows[3], pa.int64())], ["doc", "start", "words", "hits"])
@@ -147,13 +158,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     table gives no rows.
     """
     spark = docs.sparkSession
-    tests = stage(spark, item_grams(items, item_id, item_text, n).where(F.size("grams") > 0), "items")
+    every = stage(spark, item_grams(items, item_id, item_text, n), "items")
+    tests, short = every.where(F.size("grams") > 0), every.where((F.size("grams") == 0) & (F.size("words") > 0))
     seeds = stage(spark, tests.select("item", F.explode("grams").alias("gram")), "seeds")
     longest = tests.agg(F.max(F.size("words"))).first()[0] or 0
     reach = reach_of(longest, threshold)
     regions = stage(spark, _regions(docs, doc_id, doc_text, n, seeds.select("gram").distinct(), reach), "regions")
-    met = regions.select("doc", "start", F.explode("hits").alias("gram")).join(seeds, "gram").select("doc", "start", "item").distinct()
-    sides = met.join(regions.select("doc", "start", F.col("words").alias("text")), ["doc", "start"]).join(tests.select("item", "words"), "item")
+    met = join_salted(regions.select("doc", "start", F.explode("hits").alias("gram")), seeds, "gram", "doc").select("doc", "start", "item").distinct()
+    met = stage(spark, met, "met", narrow=True)
+    sides = join_salted(met, tests.select("item", "words"), "item", "doc").join(regions.select("doc", "start", F.col("words").alias("text")), ["doc", "start"])
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text, words = batch.column(3), batch.column(4)
@@ -174,7 +187,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
 
     found = arrow_map(sides.select("doc", "start", "item", "text", "words"), score, "doc long, item long, score double, start long, end long")
     best = found.groupBy("doc", "item").agg(F.min(F.struct((-F.col("score")).alias("s"), "start", "end")).alias("b"))
-    return best.select("doc", "item", (-F.col("b.s")).alias("score"), "b.start", "b.end")
+    best = best.select("doc", "item", (-F.col("b.s")).alias("score"), "b.start", "b.end")
+    if short.isEmpty():
+        return best
+    whole = _whole_texts(docs, doc_id, doc_text, n).join(short.select("item", "words"), "words").select("doc", "item", F.lit(1.0), F.lit(0).cast("long"), F.size("words").cast("long"))
+    return best.union(whole.distinct())
+
+
+def _whole_texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(doc, words) of documents of under n words."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for w in words(pc.utf8_lower(batch.column(1)), PUNCTUATION):
+            count = np.diff(w.first)
+            few = np.flatnonzero((count > 0) & (count < n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + few)), lists([w.hashes[w.first[i] : w.first[i + 1]] for i in few], pa.int64())], ["doc", "words"])
+            at += len(count)
+
+    ids = docs[id_col].cast("long")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("doc"), docs[text_col].alias("text")), run, "doc long, words array<long>")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -12,12 +12,17 @@ left out or changed:
    keys are aggregated before they are joined and no key's lines are paired with each other.
 3. The edit distance of every joined pair is verified on the words. A line goes if an earlier line is within the bound.
 
-With ``words_per_edit`` long lines may differ by more: by one edit for each so many words of the longer one.
+With ``words_per_edit`` long lines may differ by more: by one edit for each so many words of the longer one. All variants
+within such a bound would be too many, so those that are emitted leave but a run of words:
 
 4. Two such lines share a run of RUN words, so they share an anchor: the least hash of the runs of ANCHOR_WORDS words in a
    window, whatever stands around it. Anchors of one line only leave; the others are joined.
-5. Each line is verified against the earliest line of each of its anchors. What has no partner yet is verified against all
-   earlier lines with one of its anchors at a place and a length that the bound allows.
+5. An edit changes at most two words of a line's bag, so the XOR of two odd sketches of the bags (parity bitmaps) has at
+   most two bits for each edit; pairs with more bits leave before their words are read.
+6. Each line is verified against the earliest line of each of its anchors. What has no partner yet is compared with all
+   earlier lines with one of its anchors at a place and a length that the bound allows: by keys of anchor, length and
+   place, so that a passage that many unlike lines hold doesn't make pairs of all of them. The closest by sketch is
+   verified first, all others only for lines that are left then.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bitmap, in_bitmap, stage
+from .common import arrow_map, bitmap, free_names, in_bitmap, join_salted, stage
 from .kernels import Spans, Words, chunks, lists, mix, run_hashes, words_of
 
 NEAR_WORDS = 6
 #: Words of an anchor, and of a run that is sure to hold an anchor.
 ANCHOR_WORDS, RUN = 6, 13
+#: Bits of a line's odd sketch, and by how much lengths of one class differ at most.
+BITS, CLASS = 512, 1.12
+_LONGS = [f"s{i}" for i in range(BITS // 64)]
 _SALT = np.uint64(0x51ED270B9F1A3C25)
 
 
@@ -56,7 +64,7 @@ def _hashed(w: Words, s: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s.of(a, b), Spans(mix(w.hashes ^ _SALT)).of(a, b), b - a
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = NEAR_WORDS) -> DataFrame:
     """(id, line, h1, h2, size, b0..b3): every line with words; b: hashes of its halves, null for short lines."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -67,7 +75,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for length in ((size - 1) // 2, (size + 1) // 2):
                 length = np.maximum(length, 0)
                 halves += [mix(s.of(a, np.minimum(a + length, b)) + np.uint64(1)), mix(s.of(np.maximum(b - length, a), b) + np.uint64(2))]
-            there, short = size > 0, size < NEAR_WORDS
+            there, short = size > 0, size < near_words
             at = pa.array(text[there])
             arrays = [batch.column(0).take(at), pa.array(number[there].astype(np.int32)), *(pa.array(h[there].view(np.int64)) for h in (h1, h2)), pa.array(size[there].astype(np.int32))]
             arrays += [pa.array(h[there].view(np.int64), mask=short[there]) for h in halves]
@@ -77,7 +85,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, h1 long, h2 long, size int, b0 long, b1 long, b2 long, b3 long")
 
 
-def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, near_words: int) -> DataFrame:
     """(id, line, h1, h2, words, itself, variants) of lines whose h1 is in ``wanted`` (and a few others); of equal lines in a chunk the earliest."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("h1"), "h1"))
 
@@ -85,7 +93,7 @@ def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, wanted: DataFra
         key = batch.column(0).to_numpy()
         for text, number, w, s in _line_words(batch.column(1)):
             h1, h2, size = _hashed(w, s)
-            pick = np.flatnonzero((size >= NEAR_WORDS) & in_bitmap(bits.value, h1))
+            pick = np.flatnonzero((size >= near_words) & in_bitmap(bits.value, h1))
             pick = pick[np.lexsort((number[pick], key[text[pick]], h1[pick]))]
             pick = pick[np.append(True, h1[pick][1:] != h1[pick][:-1])] if len(pick) else pick
             a, b = w.first[:-1][pick], w.first[1:][pick]
@@ -162,8 +170,21 @@ def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
     return arrow_map(docs.where(docs[id_col].isNotNull()).select(docs[text_col]), run, "anchor long, h1 long")
 
 
+def _sketches(w: Words, lines: np.ndarray) -> np.ndarray:
+    """(lines, BITS // 64): for each bit whether an odd number of the line's words falls on it."""
+    out = np.zeros((len(lines), BITS // 64), np.int64)
+    for at in range(0, len(lines), 1024):
+        some = lines[at : at + 1024]
+        a, n = w.first[some], w.first[some + 1] - w.first[some]
+        index = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        bit = (w.hashes[index] >> np.uint64(17)).astype(np.int64) & (BITS - 1)
+        odd = np.bincount(np.repeat(np.arange(len(some)), n) * BITS + bit, minlength=len(some) * BITS).astype(np.uint8) & 1
+        out[at : at + 1024] = np.packbits(odd.reshape(len(some), BITS), axis=1).view(np.int64)
+    return out
+
+
 def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, shared: DataFrame) -> DataFrame:
-    """(id, line, h1, h2, words, anchors, places) of lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
+    """(id, line, h1, h2, words, anchors, places, s0...) of lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "anchor"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -174,6 +195,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, shared: D
             pick, begin = np.unique(line, return_index=True)
             ends = list(zip(begin, np.append(begin[1:], len(line)), strict=True))
             h1, h2, _ = _hashed(w, s)
+            sketch = _sketches(w, pick)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(text[pick])),
@@ -181,13 +203,25 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, shared: D
                     *(pa.array(h[pick].view(np.int64)) for h in (h1, h2)),
                     lists([w.hashes[w.first[i] : w.first[i + 1]] for i in pick], pa.int64()),
                     lists([anchor[a:b] for a, b in ends], pa.int64()),
-                    lists([place[a:b] for a, b in ends], pa.int64()),
+                    lists([place[a:b].astype(np.int32) for a, b in ends], pa.int32()),
+                    *(pa.array(np.ascontiguousarray(c)) for c in sketch.T),
                 ],
-                ["id", "line", "h1", "h2", "words", "anchors", "places"],
+                ["id", "line", "h1", "h2", "words", "anchors", "places", *_LONGS],
             )
 
     ids = docs[id_col].cast("long")
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, h1 long, h2 long, words array<long>, anchors array<long>, places array<long>")
+    longs = ", ".join(f"{x} long" for x in _LONGS)
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, f"id long, line int, h1 long, h2 long, words array<long>, anchors array<long>, places array<int>, {longs}")
+
+
+def _class_of(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / np.log(CLASS)).cast("int")
+
+
+def _cell_width(kind: Column, words_per_edit: int) -> Column:
+    """Twice the largest shift between a line of this class of lengths and any line within the bound."""
+    longest = F.pow(F.lit(CLASS), kind + 1) * (words_per_edit / (words_per_edit - 1))
+    return 2 * (F.floor(longest / words_per_edit).cast("int") + 1)
 
 
 def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settled: DataFrame, place: Callable[[Column, Column], Column], words_per_edit: int) -> DataFrame:
@@ -200,29 +234,55 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
     shared = stage(spark, shared, "anchors", narrow=True)
     drawn = _anchored(docs, id_col, text_col, least, shared).withColumn("at", place(F.col("id"), F.col("line")))
     wanted = classes.where(F.col("size") >= least).select("h1", "h2", "rep")
-    near = stage(spark, drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep)).select("at", "words", "anchors", "places").dropDuplicates(["at"]), "anchored")
-    held = near.select("at", F.size("words").alias("size"), F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("at", "size", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("p"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        seen = pairs.join(near.select("at", F.col("words").alias("x")), "at").join(near.select(F.col("at").alias("keep"), F.col("words").alias("y")), "keep").select("at", "keep", "x", "y")
+    near = drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep))
+    near = near.select("at", F.size("words").alias("size"), "words", "anchors", "places", *_LONGS).dropDuplicates(["at"]).join(settled.withColumn("done", F.lit(True)), "at", "left")
+    near = stage(spark, near.withColumn("done", F.coalesce("done", F.lit(False))), "anchored")
+    thin = near.select("at", "size", *_LONGS)
+    other = thin.select(*[F.col(c).alias("o_" + c) for c in thin.columns])
+    bound = F.floor(F.greatest("size", "o_size") / words_per_edit).cast("int")
+    z = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("o_" + s))) for s in _LONGS), F.lit(0))
+    alike = (F.abs(F.col("size") - F.col("o_size")) <= bound) & (z <= 2 * bound)
+    words = near.select("at", F.col("words").alias("x"))
+    kind = near.schema["at"].dataType.simpleString()
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        seen = join_salted(pairs, words.withColumnsRenamed({"at": "keep", "x": "y"}), "keep", "at").join(words, "at").select("at", "keep", "x", "y")
 
         def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             edits = [within(x, y, max(len(x), len(y)) // words_per_edit) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edits, pa.int32())], ["at", "keep", "distance"])
             yield out.filter(out.column(2).is_valid())
 
-        kind = near.schema["at"].dataType.simpleString()
         found = arrow_map(seen, verify, f"at {kind}, keep {kind}, distance int")
-        return found.groupBy("at").agg(F.min(F.struct("keep", "distance")).alias("b")).select("at", "b.keep", "b.distance")
-
-    firsts = held.groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last").select("anchor", "keep")
-    open_ = held.join(settled, "at", "left_anti")
-    first = stage(spark, verified(open_.join(firsts, "anchor").where("at <> keep").select("at", "keep").distinct()), "far-first")
-    rest = open_.join(first.select("at"), "at", "left_anti")
-    other = held.select(F.col("at").alias("keep"), F.col("size").alias("size2"), "anchor", F.col("p").alias("p2"))
-    bound = F.floor(F.greatest("size", "size2") / words_per_edit)
-    fits = (F.col("keep") < F.col("at")) & (F.abs(F.col("size") - F.col("size2")) <= bound) & (F.abs(F.col("p") - F.col("p2")) <= bound)
-    return first.union(verified(rest.join(other, "anchor").where(fits).select("at", "keep").distinct()))
+        return stage(spark, found.groupBy("at").agg(F.min(F.struct("keep", "distance")).alias("b")).select("at", "b.keep", "b.distance"), label, narrow=True)
+
+    firsts = near.select("at", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last"), F.count("*").alias("n")).where("keep <> last")
+    firsts = stage(spark, firsts.select("anchor", "keep", "n"), "first-anchors", narrow=True)
+    open_ = near.where(~F.col("done"))
+    led = join_salted(stage(spark, open_.select("at", F.explode("anchors").alias("anchor")), "open-anchors", narrow=True), firsts.select("anchor", "keep"), "anchor", "at")
+    led = stage(spark, led.where("keep < at").select("at", "keep").distinct(), "led", narrow=True)
+    led = join_salted(led, other.withColumnRenamed("o_at", "keep"), "keep", "at").join(thin, "at").where(alike).select("at", "keep")
+    first = verified(stage(spark, led, "led-alike", narrow=True), "far-first")
+
+    kinds = _class_of(F.col("size"))
+    width = _cell_width(F.col("kind"), words_per_edit)
+    held = near.select("at", "size", *_LONGS, "done", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("at", "size", *_LONGS, "done", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("p"))
+    base = held.withColumn("kind", kinds).withColumn("cell", F.floor(F.col("p") / width).cast("int")).select("anchor", "kind", "cell", F.col("p").alias("o_p"), *[F.col(c).alias("o_" + c) for c in thin.columns])
+    shift = F.floor(F.col("size") / (words_per_edit - 1)).cast("int")
+
+    def met(rest: DataFrame) -> DataFrame:
+        """Pairs of the lines ``rest`` (at) with earlier ones that may be within the bound."""
+        light = held.join(rest, "at", "left_semi").withColumn("kind", F.explode(F.sequence(_class_of(F.col("size") - shift), _class_of(F.col("size") + shift))))
+        light = light.withColumn("cell", F.explode(F.sequence(F.floor((F.col("p") - width / 2) / width).cast("int"), F.floor((F.col("p") + width / 2) / width).cast("int"))))
+        pairs = light.join(base, ["anchor", "kind", "cell"]).where((F.col("o_at") < F.col("at")) & (F.abs(F.col("p") - F.col("o_p")) <= bound) & alike)
+        return pairs.select("at", F.col("o_at").alias("keep"), z.alias("z"))
+
+    rest = stage(spark, open_.select("at").join(first.select("at"), "at", "left_anti"), "open", narrow=True)
+    closest = stage(spark, met(rest).groupBy("at").agg(F.min(F.struct("z", "keep")).alias("b")).select("at", "b.keep"), "closest", narrow=True)
+    second = verified(closest, "far-second")
+    rest = stage(spark, closest.select("at").join(second.select("at"), "at", "left_anti"), "open", narrow=True)
+    third = verified(stage(spark, met(rest).select("at", "keep").distinct(), "others", narrow=True), "far-third")
+    return first.union(second).union(third)
 
 
 def _places(lines: DataFrame) -> tuple[Callable[[Column, Column], Column], Callable[[str], Column], Callable[[str], Column]]:
@@ -240,16 +300,16 @@ def _places(lines: DataFrame) -> tuple[Callable[[Column, Column], Column], Calla
     return (lambda i, n: F.struct(i.alias("id"), n.alias("line")), lambda c: F.col(c)["id"], lambda c: F.col(c)["line"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None, near_words: int = NEAR_WORDS) -> DataFrame:
     """(id, line, keep_id, keep_line, distance): each line that goes, and the earliest line that it repeats.
 
-    distance is 0 for an equal line and 1 for one within a word edit. With ``words_per_edit`` also lines of 2 * words_per_edit
+    distance is 0 for an equal line and 1 for one within a word edit, which is looked for from ``near_words`` words on. With ``words_per_edit`` also lines of 2 * words_per_edit
     or more words go, with their number of edits; the line named is an earlier one within the bound, not always the earliest. Lines are numbered from 0 at each U+000A; lines
     without words and rows without an id are never duplicates; null and empty texts have none. Rows with one id are one
     document: their equal lines of one number are one line. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    lines = stage(spark, occurrences(docs, id_col, text_col), "lines")
+    lines = stage(spark, occurrences(docs, id_col, text_col, near_words), "lines")
     place, id_of, line_of = _places(lines)
     at = place(F.col("id"), F.col("line"))
     classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("rep"), F.max(at).alias("last"), *[F.max(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3")])
@@ -258,11 +318,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = lines.select("h1", "h2", at.alias("at")).join(again, ["h1", "h2"]).where("at <> rep")
     exact = exact.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("rep").alias("keep_id"), line_of("rep").alias("keep_line"), F.lit(0).alias("distance"))
 
-    halves = classes.where(F.col("size") >= NEAR_WORDS).select("h1", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("half"))
+    halves = classes.where(F.col("size") >= near_words).select("h1", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
     partners = stage(spark, halves.join(met, "half").select("h1").distinct(), "line-candidates", narrow=True)
     wanted = classes.join(partners, "h1", "left_semi").select("h1", "h2", "rep")
-    drawn = _neighbourhoods(docs, id_col, text_col, partners).withColumn("at", at)
+    drawn = _neighbourhoods(docs, id_col, text_col, partners, near_words).withColumn("at", at)
     near = stage(spark, drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep)).select("at", drawn.h1, "words", "variants"), "neighbourhoods")
 
     changed = near.select("at", F.posexplode("variants").alias("p", "v")).select("at", F.xxhash64("v", "p").alias("key"))
@@ -290,14 +350,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return exact.union(edited).union(far.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), "distance"))
 
 
-def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` without the lines of ``duplicate_lines``; a document goes when all its lines with words go.
+def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
+    """``docs`` without the lines of ``duplicate_lines``, which takes the other options; a document goes when all its lines with words go.
 
     ``count_col``, where given and present, becomes the new text's length in characters. Documents that lose no line are
-    returned as they are, null and empty texts included.
+    returned as they are, null and empty texts included. Columns may have any names.
     """
-    gone = duplicate_lines(docs, id_col, text_col).groupBy("id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("id", "_gone_id")
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    gone, gone_id = free_names(docs, count=2)
+    cuts = duplicate_lines(docs, id_col, text_col, **options).groupBy("id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("id", gone_id)
+    joined = docs.join(cuts, docs[id_col].cast("long") == F.col(gone_id), "left").drop(gone_id)
     at = joined.columns.index(text_col)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -312,8 +373,7 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         columns[at] = pa.array(texts, columns[at].type)
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(stays)
 
-    schema = joined.drop("_gone").schema
-    out = arrow_map(joined, cut, schema)
+    out = arrow_map(joined, cut, joined.drop(gone).schema)
     if count_col in docs.columns:
         changed = F.when(F.col(text_col).isNull(), F.col(count_col)).otherwise(F.char_length(text_col))
         out = out.withColumn(count_col, changed.cast(docs.schema[count_col].dataType))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_stream, bitmap, in_bitmap, stage
+from .common import arrow_map, arrow_stream, bitmap, free_names, in_bitmap, join_keyed, join_salted, stage
 from .graph import components
 from .kernels import lists, mix, shingle_sets, words
 
@@ -119,7 +119,8 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, n: int, pairs: DataFr
     """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = _again(docs, id_col, text_col, n, wanted, "set", lambda s: s)
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    # many may be compared with one b, the smaller id
+    joined = join_salted(pairs, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", "a").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = joined.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     return counted.where((F.col("i") > 0) & (F.lit(den) * F.col("i") >= F.lit(num) * (F.col("t") - F.col("i")))).select("a", "b").distinct()
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     sigs = stage(spark, signatures(docs, id_col, text_col, n), "signatures")
-    classes = sigs.where("n_shingles > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
+    classes = sigs.where("n_shingles > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     # the id is a key of the join, so a class of copies does not meet in one task
     reps = sigs.join(classes, (sigs.f1 == classes.f1) & (sigs.f2 == classes.f2) & (sigs.id == classes.rep)).select("id", "n_shingles", "keys", *_LONGS)
     reps = stage(spark, reps, "classes")
@@ -260,7 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stage(spark, members.join(leaders, "key"), "buckets")
     thin = reps.select("id", "n_shingles", *_LONGS)
     other = thin.select(*[F.col(c).alias("o_" + c) for c in thin.columns])
-    stars = shared.where("id <> leader").select("id", "leader").distinct().join(thin, "id").join(other, F.col("leader") == F.col("o_id"))
+    led = stage(spark, shared.where("id <> leader").select("id", "leader").distinct(), "led", narrow=True)
+    stars = join_salted(led, other.withColumnRenamed("o_id", "leader"), "leader", "id").join(thin, "id")
     z = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("o_" + s))) for s in _LONGS), F.lit(0))
     sizes = F.lit(den) * F.least("n_shingles", "o_n_shingles") >= F.lit(num) * F.greatest("n_shingles", "o_n_shingles")
     worst = _worst(num / den)
@@ -285,13 +287,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             links = links.union(more)
             comp = components(spark, links)
-    by_class = classes.join(comp, classes.rep == comp.id, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    placed_rows = sigs.select("id", "n_shingles", "f1", "f2").join(by_class, ["f1", "f2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return placed_rows.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    by_class = classes.join(comp, classes.rep == comp.id, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), "n")
+    by_class = stage(spark, by_class, "class-components", narrow=True)
+    alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
+    rows = sigs.select("id", "n_shingles", "f1", "f2")
+    placed = join_keyed(rows.where(~alone), by_class, ["f1", "f2"], "n").select("id", "n_shingles", "component_id")
+    placed = placed.union(rows.where(alone).select("id", "n_shingles", F.col("id").alias("component_id")))
+    return placed.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the near-duplicates of a document with a smaller id; of repeated rows of one id all or none stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    (name,) = free_names(docs, count=1)
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -5,8 +5,8 @@ into runs of equal row counts (law ``rows``: at most one apart). Near rows on th
 the min/max statistics of a shard's files prune on any of them.
 
 The curve index is a DataFrame expression; the order is a range partitioning whose partition sizes (one row each) give
-the offsets, so no partition is ever the whole table. Rows that tie on the curve are ordered by text hash, then id:
-copies lie side by side.
+the offsets, so no partition is ever the whole table and rows are shuffled once. Rows that tie on the curve are ordered
+by text hash, then id: copies with equal metadata lie side by side.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_names, stage
 
 BITS = 8
 
@@ -84,25 +84,30 @@ def quantise_name(value: Column, bits: int = BITS) -> Column:
 def shard_rows(rows: DataFrame, dims: list[Column], tie: list[Column], shards: int) -> DataFrame:
     """``rows`` with ``shard`` and ``slot`` (gapless from 0 in its shard). Counts of shards are at most one apart.
 
-    Repeated rows are separate rows; with fewer rows than shards, some shards are empty; an empty table gives no rows.
-    The names ``_curve``, ``_pid`` and ``_rank`` must be free.
+    The law of counts comes first: equal rows are neighbours in the order, but a cut may part them. Repeated rows are
+    separate rows; with fewer rows than shards, some shards are empty; an empty table gives no rows. Columns ``shard`` or
+    ``slot`` of ``rows`` are an error, other names are free.
     """
     spark = rows.sparkSession
-    ties = [f"_tie{i}" for i in range(len(tie))]
-    order = ["_curve", *ties]
-    keyed = rows.select("*", hilbert_index(dims).alias("_curve"), *[t.alias(n) for t, n in zip(tie, ties, strict=True)])
+    clash = {c.lower() for c in rows.columns} & {"shard", "slot"}
+    if clash:
+        raise ValueError(f"columns of the table have names of the result: {', '.join(sorted(clash))}")
+    curve, part, place, count, before, total, rank, *ties = free_names(rows, count=7 + len(tie))
+    order = [curve, *ties]
+    keyed = rows.select("*", hilbert_index(dims).alias(curve), *[t.alias(n) for t, n in zip(tie, ties, strict=True)])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = stage(spark, keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()), "curve")
+    # numbered where they are sorted and written: an id has the partition above the row's place in it
+    numbered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*order).withColumn(place, F.monotonically_increasing_id())
+    numbered = stage(spark, numbered.withColumn(part, F.shiftright(place, 33).cast("int")).withColumn(place, F.col(place).bitwiseAND((1 << 33) - 1)), "curve")
     # One row a partition: its number is set by the cluster, not by the data.
-    counts = sorted_rows.groupBy("_pid").count().withColumnRenamed("count", "_n")
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    ranked = sorted_rows.withColumn("_in", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1).join(F.broadcast(offsets), "_pid")
-    rank = F.col("_before") + F.col("_in")
+    counts = numbered.groupBy(part).agg(F.count("*").alias(count))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before), F.sum(count).over(Window.partitionBy()).alias(total))
+    ranked = numbered.join(F.broadcast(offsets), part).withColumn(rank, (F.col(before) + F.col(place)).cast("long"))
     # shard s begins at rank ceil(s * total / shards)
-    whole = ranked.withColumn("_rank", rank.cast("long")).withColumn("shard", F.expr(f"cast((_rank * {shards}L) div _total as int)"))
-    start = F.expr(f"(cast(shard as long) * _total + {shards - 1}L) div {shards}L")
-    return whole.withColumn("slot", (F.col("_rank") - start).cast("long")).drop("_rank", "_in", "_before", "_total", "_pid", *order)
+    whole = ranked.withColumn("shard", F.expr(f"cast(({rank} * {shards}L) div {total} as int)"))
+    start = F.expr(f"(cast(shard as long) * {total} + {shards - 1}L) div {shards}L")
+    return whole.withColumn("slot", (F.col(rank) - start).cast("long")).drop(part, place, before, total, rank)
 
 
 def write_shards(dealt: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> None:
@@ -111,5 +116,6 @@ def write_shards(dealt: DataFrame, folder: str, rows_per_file: int = 1_000_000)
     A file holds one run of the curve, so its column statistics prune on every dimension; a shard of any size is many
     files, none written by more than one task.
     """
-    run = F.expr(f"slot div {rows_per_file}")
-    dealt.withColumn("_run", run).repartition("shard", "_run").sortWithinPartitions("shard", "_run", "slot").drop("_run").write.partitionBy("shard").parquet(folder)
+    (run,) = free_names(dealt, count=1)
+    runs = dealt.withColumn(run, F.expr(f"slot div {rows_per_file}"))
+    runs.repartition("shard", run).sortWithinPartitions("shard", run, "slot").drop(run).write.partitionBy("shard").parquet(folder)

@@ -73,7 +73,9 @@ def test_edges(spark):
     assert find_leaks(shouted, spark.createDataFrame([(7, accents)], "item_id long, text string")).first().score == 1.0
     rows = [(1, passage.upper() + "!", 0), (1, passage, 0), (2, None, 1), (None, passage, 2), (3, "", 3), (4, "two words", 4), (5, "a " * 50000 + passage, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item int")
-    assert {(r.doc, r.item) for r in find_leaks(docs, items).collect()} == {(1, 1), (5, 1)}
+    assert {(r.doc, r.item) for r in find_leaks(docs, items).collect()} == {(1, 1), (4, 4), (5, 1)}
+    hot = spark.createDataFrame([(i, "just two words" if i % 2 else "Two, words!") for i in range(3000)], "doc_id long, text string")
+    assert sorted(r.doc for r in find_leaks(hot, items).collect()) == list(range(0, 3000, 2))
     assert drop_leaks(docs, items).columns == docs.columns
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
@@ -85,6 +87,7 @@ def test_dense_edits_and_many_copies(spark):
         0: lambda w: [f"x{rng.integers(10**6)}" if i % 4 == 3 else x for i, x in enumerate(w)],
         1: lambda w: [y for i, x in enumerate(w) for y in ([x, f"x{rng.integers(10**6)}"] if i % 3 == 2 else [x])],
         2: lambda w: [y for i, x in enumerate(w) for y in ([x, f"x{rng.integers(10**6)}"] if i % 2 else [x])],
+        3: lambda w: [f"x{rng.integers(10**6)}" if i % 3 == 2 else x for i, x in enumerate(w)],
     }
     rows = [(1000 * kind + 20 * i + copy, " ".join(edit(text.split()))) for kind, edit in edits.items() for i, text in items for copy in range(20)]
     want = {}
@@ -94,6 +97,23 @@ def test_dense_edits_and_many_copies(spark):
             score = align(test, text)[0] / (2 * len(test))
             if score >= THRESHOLD:
                 want[key, i] = score
-    assert {k for k, _ in want} == {k for k, _ in rows}
+    assert {k for k, _ in want} >= {k for k, _ in rows if k < 3000} and any(k >= 3000 for k, _ in want)
     docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc, r.item): r.score for r in find_leaks(docs, tests).collect()} == want
+
+
+def test_a_phrase_of_all_documents_and_pieces(spark, monkeypatch):
+    """A frequent seed joins what it must; seeds of long texts are hashed in pieces."""
+    from corpuslens.llm import leaks
+
+    monkeypatch.setattr(leaks, "PIECE", 7)
+    phrase = "as a matter of fact"
+    items = spark.createDataFrame([(i, f"{phrase} question {i} asks for number {i * 31} of them all") for i in range(6)], "item_id long, text string")
+    texts = {r.item_id: r.text for r in items.collect()}
+    rows = [(k, f"{phrase} word{k} other{k * 7} {phrase} more{k}" + (f" {texts[k % 6]}" if k % 50 == 0 else "")) for k in range(3000)]
+    got = {(r.doc, r.item) for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    whole = {(k, i) for k in range(0, 3000, 50) for i in [k % 6]}
+    tests = dict(zip(texts, hashes(list(texts.values())), strict=True))
+    some = [r for r in rows if r[0] % 25 == 0]
+    want = {(k, i) for (k, _), h in zip(some, hashes([t for _, t in some]), strict=True) for i, test in tests.items() if align(test, h)[0] >= len(test)}
+    assert whole <= want and {(k, i) for k, i in got if k % 25 == 0} == want

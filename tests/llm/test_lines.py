@@ -1,7 +1,11 @@
 import re
+from collections import Counter
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpuslens.llm.lines import NEAR_WORDS, drop_duplicate_lines, duplicate_lines, within, within_one
 
 from ..conftest import TINY
@@ -11,8 +15,8 @@ def split(text):
     return [tuple(w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)) if w) for line in (text or "").split("\n")]
 
 
-def brute(rows):
-    """Distinct lines with their earliest places; then all pairs of equal or nearly equal length."""
+def brute(rows, words_per_edit=None, near_words=NEAR_WORDS):
+    """Distinct lines with their earliest places; then all pairs of equal or nearly equal length. Far lines are (id, line, None)."""
     first, out, by_size = {}, set(), {}
     for place, line in sorted({((i, k), line) for i, t in rows if i is not None for k, line in enumerate(split(t)) if line}):
         if line in first:
@@ -22,11 +26,16 @@ def brute(rows):
     for line in first:
         by_size.setdefault(len(line), []).append(line)
     for line, place in first.items():
-        if len(line) < NEAR_WORDS:
+        if len(line) < near_words:
             continue
-        near = [first[x] for n in (len(line) - 1, len(line), len(line) + 1) if n >= NEAR_WORDS for x in by_size.get(n, ()) if x != line and first[x] < place and within_one(line, x)]
+        near = [first[x] for n in (len(line) - 1, len(line), len(line) + 1) if n >= near_words for x in by_size.get(n, ()) if x != line and first[x] < place and within_one(line, x)]
         if near:
             out.add((*place, 1))
+        elif words_per_edit and len(line) >= 2 * words_per_edit - 2:
+            bound = len(line) // (words_per_edit - 1)
+            earlier = [x for n in range(len(line) - bound, len(line) + bound + 1) for x in by_size.get(n, ()) if first[x] < place and sum((Counter(x) - Counter(line)).values()) <= bound]
+            if any(within(line, x, max(len(line), len(x)) // words_per_edit) is not None for x in earlier):
+                out.add((*place, None))
     return out
 
 
@@ -76,6 +85,8 @@ def test_edges(spark):
     assert out == [(0, "Hello there", 11), (1, "Hello there\n\n", 13), (4, "", 0), (5, "\n\n", 2), (6, "own", 3), (6, "own", 3)]
     assert [r.doc_id for r in drop_duplicate_lines(df).collect() if r.text is None] == [3]
     assert drop_duplicate_lines(df).columns == df.columns
+    clash = df.withColumnRenamed("line", "_gone").withColumn("_gone_id", F.lit(1)).withColumn("__0", F.lit(2))
+    assert drop_duplicate_lines(clash).columns == clash.columns and drop_duplicate_lines(clash).count() == len(out) + 1
     assert duplicate_lines(df.limit(0)).count() == 0 and drop_duplicate_lines(df.limit(0)).count() == 0
 
 
@@ -123,3 +134,45 @@ def test_long_lines_bear_more_edits(spark):
     assert max(r.distance for r in got) > 3
     for r in got:
         assert r.keep_id < r.id and edits(texts[r.id], texts[r.keep_id]) == r.distance
+
+
+def far_shape(rows):
+    return {(r.id, r.line, r.keep_id, r.keep_line, 0) if r.distance == 0 else (r.id, r.line, 1 if r.distance == 1 else None) for r in rows}
+
+
+def test_growing_bound_on_documents(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    got = duplicate_lines(docs, words_per_edit=20).collect()
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 20)
+    assert far_shape(got) == want and len({(r.id, r.line) for r in got}) == len(got)
+
+
+def test_short_lines_by_parameter(spark):
+    rows = [(1, "one two three four"), (2, "one two tree four"), (3, "one two four"), (4, "five"), (5, "six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert duplicate_lines(df).count() == 0
+    assert shape(duplicate_lines(df, near_words=3).collect()) == brute(rows, near_words=3) == {(2, 0, 1), (3, 0, 1)}
+
+
+@pytest.mark.parametrize("spread", [0, 1])
+def test_a_passage_of_many_unlike_lines(spark, spread):
+    """A passage that all lines hold, at the same place or at many; copies of some lines are edited here and there."""
+    rng = np.random.default_rng(11 + spread)
+    passage = [f"p{i}" for i in range(50)]
+    lines = []
+    for k in range(300):
+        head = [f"w{i}" for i in rng.integers(0, 5000, rng.integers(0, 40) if spread else 20)]
+        tail = [f"w{i}" for i in rng.integers(0, 5000, rng.integers(0, 40) if spread else 30)]
+        line = head + passage + tail
+        lines.append(line)
+        if k % 5 == 0:
+            for _ in range(3):
+                x = list(line)
+                for at in rng.integers(0, len(x), rng.integers(1, 8)):
+                    x[at] = f"e{rng.integers(10**6)}"
+                lines.append(x)
+    order = rng.permutation(len(lines))
+    rows = [(i, " ".join(lines[k])) for i, k in enumerate(order)]
+    got = duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words_per_edit=20).collect()
+    assert {(r.id, 1 if r.distance == 1 else None) for r in got} == {(x[0], x[2]) for x in brute(rows, 20)}
+    assert {r.distance for r in got} >= {2, 3, 4}

@@ -115,3 +115,13 @@ def test_words_and_spans():
     s = Spans(h)
     one = lambda *x: np.array(x)
     assert s.without(one(3), one(8), one(5)) == Spans(h[[3, 4, 6, 7]]).of(one(0), one(4))
+
+
+def test_hot_classes_and_clashing_names(spark):
+    """Copies of one text and empty texts in masses; columns named like the helpers."""
+    texts = ["the same long text of many words here again"] * 1500 + [""] * 1500 + [f"own text number {i} of some words {i * 3}" for i in range(60)]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, __0 int, component_id string").repartition(4)
+    got = {r.id: r for r in near_duplicates(df).collect()}
+    assert len(got) == len(texts) and all(got[i].component_id == 0 and got[i].kept == (i == 0) for i in range(1500))
+    assert all(got[i].component_id == i and got[i].kept for i in range(1500, 3000))
+    assert keep_one(df).columns == df.columns and keep_one(df).count() == len(texts) - 1499

@@ -3,6 +3,7 @@ from corpuslens.llm.leaks import find_leaks
 from corpuslens.llm.lines import duplicate_lines
 from corpuslens.llm.neardup import near_duplicates
 from corpuslens.llm.quality import fit, score
+from corpuslens.llm.queries import WORDS_PER_EDIT
 
 from ..conftest import TINY
 from .test_lines import brute as brute_lines
@@ -23,8 +24,8 @@ def test_each_stage_on_its_input(spark):
             scores = {r.doc_id: r.score for r in score(docs, fit(docs, spark.read.parquet(f"{TINY}/labels.parquet"))).collect()}
             assert after == {k: t for k, t in before.items() if scores[k] >= 0.7}
         elif name == "line_dedup":
-            gone = {(x[0], x[1]) for x in brute_lines(list(before.items()))}
-            assert gone == {(r.id, r.line) for r in duplicate_lines(docs).collect()}
+            gone = {(x[0], x[1]) for x in brute_lines(list(before.items()), WORDS_PER_EDIT)}
+            assert gone == {(r.id, r.line) for r in duplicate_lines(docs, words_per_edit=WORDS_PER_EDIT).collect()}
             want = {k: [x for i, x in enumerate(t.split("\n")) if (k, i) not in gone] for k, t in before.items()}
             assert after == {k: "\n".join(x) for k, x in want.items() if any(y.strip() for y in x) or not any((k, i) in gone for i in range(len(before[k].split("\n"))))}
             assert all(r.n_chars == len(r.text) for r in out.collect())

@@ -59,3 +59,20 @@ def test_files_prune(spark):
 def test_quantised_sizes(spark):
     got = spark.createDataFrame([(None,), (-5,), (0,), (1,), (1 << 60,)], "n long").select(quantise_log(F.col("n")).alias("q")).collect()
     assert [r.q for r in got] == [0, 0, 0, 8, 255]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a", 1, 2, 3) for i in range(50)], "_curve long, _in string, _pid int, __0 int, _rank int")
+    got = shard_rows(df, [F.col("_curve") % 8, F.lit(0)], [F.col("_in")], 4)
+    assert got.columns == [*df.columns, "shard", "slot"] and got.groupBy("shard").count().where("count not in (12, 13)").count() == 0
+    assert sorted(r._curve for r in got.collect()) == list(range(50))
+    with pytest.raises(ValueError, match="shard"):
+        shard_rows(df.withColumnRenamed("_in", "Shard"), [F.lit(0)], [], 4)
+
+
+def test_equal_texts_yield_to_the_law(spark):
+    """A third of all rows are copies: counts stay equal, copies with equal metadata are neighbours on the curve."""
+    df = spark.range(90).selectExpr("id", "if(id % 3 = 0, 'copy', cast(id AS string)) AS text", "cast(0 AS long) AS size")
+    got = shard_rows(df, [F.col("size"), F.lit(0)], [F.xxhash64("text"), F.col("id")], 9).collect()
+    places = sorted(r.shard * 10 + r.slot for r in got if r.text == "copy")
+    assert places == list(range(places[0], places[0] + 30)) and len({p // 10 for p in places}) >= 3
