@@ -19,9 +19,10 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Parts words at all ASCII bytes but letters and digits.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: So many bytes of a word are hashed eight at a time; longer words add sums over all their bytes.
+SHORT = 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -108,23 +109,50 @@ def words(column: pa.Array, space: np.ndarray = SPACE) -> Iterator[Words]:
 
 def words_of(rows: range, raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
     """Words of the texts ``raw[offsets[i]:offsets[i + 1]]``; ``space`` says which bytes part words."""
-    data = _LOWER[raw]
-    solid = ~space[raw]
+    data = raw | (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))  # A-Z
+    solid = (raw != 32) & ((raw - np.uint8(9)) > 4) if space is SPACE else ~space[raw]
     n = len(raw)
-    before = np.zeros(n, bool)
-    before[1:] = solid[:-1]
-    after = np.zeros(n, bool)
-    after[:-1] = solid[1:]
-    edges = offsets[1:-1]
-    before[edges[edges < n]] = False
-    inner = edges[(edges > 0) & (edges <= n)] - 1
-    after[inner] = False
-    starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    # where words begin and end, in turn
+    turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if n and solid[0]:
+        turns = np.concatenate(([0], turns))
+    if n and solid[-1]:
+        turns = np.append(turns, n)
+    starts, ends = turns[::2], turns[1::2]
+    # a word that ends where the next text begins with one
+    inner = np.unique(offsets[1:-1])
+    inner = inner[(inner > 0) & (inner < n)]
+    inner = inner[solid[inner] & solid[inner - 1]]
+    if len(inner):
+        starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
     return Words(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs starts..ends-1, in order and apart, equal for equal runs anywhere."""
+    size = ends - starts
+    out = size.astype(np.uint64) * _P
+    if not len(data):
+        return mix(out)
+    # eight bytes at a time; those behind the run's end are masked
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out ^= eight[starts] & _MASKS[np.minimum(size, 8)]
+    out *= _P
+    some, at = np.flatnonzero(size > 8), 8
+    while len(some):
+        left = size[some] - at
+        out[some] = (mix(out[some]) ^ eight[starts[some] + at] & _MASKS[np.minimum(left, 8)]) * _P
+        at += 8
+        some = some[(left > 8) & (at < SHORT)]
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        out[long] ^= _long_hashes(data, starts[long], ends[long])
+    return mix(out)
+
+
+def _long_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of long runs, in pieces of CHUNK bytes."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -137,7 +165,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             sums = np.concatenate([_span_sums(data[a : min(a + CHUNK, high)], np.array([0]), np.array([min(CHUNK, high - a)])) for a in places])
             out[at] = (sums * np.array([pow(int(_P), int(a - low), 1 << 64) for a in places], np.uint64)).sum(dtype=np.uint64)
         at = to
-    return mix(out + (ends - starts).astype(np.uint64))
+    return out
 
 
 def _span_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -15,8 +15,8 @@ left out or changed:
 With ``words_per_edit`` long lines may differ by more: by one edit for each so many words of the longer one. All variants
 within such a bound would be too many, so those that are emitted leave but a run of words:
 
-4. Two such lines share a run of RUN words, so they share an anchor: the least hash of the runs of ANCHOR_WORDS words in a
-   window, whatever stands around it. Anchors of one line only leave; the others are joined.
+4. Two such lines share a run of some words (``shared_run``), so they share an anchor: the least hash of the runs of
+   ANCHOR_WORDS words in a window, whatever stands around it. Anchors of one line only leave; the others are joined.
 5. An edit changes at most two words of a line's bag, so the XOR of two odd sketches of the bags (parity bitmaps) has at
    most two bits for each edit; pairs with more bits leave before their words are read.
 6. Each line is verified against the earliest line of each of its anchors. What has no partner yet is compared with all
@@ -38,7 +38,7 @@ from .common import arrow_map, bitmap, free_names, in_bitmap, join_salted, stage
 from .kernels import Spans, Words, chunks, lists, mix, run_hashes, words_of
 
 NEAR_WORDS = 6
-#: Words of an anchor, and of a run that is sure to hold an anchor.
+#: Words of an anchor; the shortest run that two lines must share.
 ANCHOR_WORDS, RUN = 6, 13
 #: Bits of a line's odd sketch, and by how much lengths of one class differ at most.
 BITS, CLASS = 512, 1.12
@@ -64,10 +64,15 @@ def _hashed(w: Words, s: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s.of(a, b), Spans(mix(w.hashes ^ _SALT)).of(a, b), b - a
 
 
+def _place_hash(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.view(np.uint64)) + number.astype(np.uint64))
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(id, line, h1, h2, size, b0..b3): every line with words; b: hashes of its halves, null for short lines."""
+    """(id, line, p, h1, h2, size, b0..b3): every line with words; p: a hash of its place, b: of its halves, null for short lines."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key = batch.column(0).to_numpy()
         for text, number, w, s in _line_words(batch.column(1)):
             h1, h2, size = _hashed(w, s)
             a, b = w.first[:-1], w.first[1:]
@@ -77,12 +82,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = N
                 halves += [mix(s.of(a, np.minimum(a + length, b)) + np.uint64(1)), mix(s.of(np.maximum(b - length, a), b) + np.uint64(2))]
             there, short = size > 0, size < near_words
             at = pa.array(text[there])
-            arrays = [batch.column(0).take(at), pa.array(number[there].astype(np.int32)), *(pa.array(h[there].view(np.int64)) for h in (h1, h2)), pa.array(size[there].astype(np.int32))]
+            arrays = [batch.column(0).take(at), pa.array(number[there].astype(np.int32)), *(pa.array(h[there].view(np.int64)) for h in (_place_hash(key[text], number), h1, h2)), pa.array(size[there].astype(np.int32))]
             arrays += [pa.array(h[there].view(np.int64), mask=short[there]) for h in halves]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "h1", "h2", "size", "b0", "b1", "b2", "b3"])
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "p", "h1", "h2", "size", "b0", "b1", "b2", "b3"])
 
     ids = docs[id_col].cast("long")
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, h1 long, h2 long, size int, b0 long, b1 long, b2 long, b3 long")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, p long, h1 long, h2 long, size int, b0 long, b1 long, b2 long, b3 long")
 
 
 def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, near_words: int) -> DataFrame:
@@ -147,27 +152,78 @@ def within(x: list[int], y: list[int], bound: int) -> int | None:
     return None
 
 
-def _anchors(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place, hash) of the anchors of all lines of ``least`` or more words, in order."""
-    count = np.diff(w.first)
-    line = np.repeat(np.arange(len(count)), count)
-    g, window = run_hashes(w.hashes, ANCHOR_WORDS), RUN - ANCHOR_WORDS + 1
-    if len(w.hashes) < RUN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.flatnonzero((line[: len(line) - RUN + 1] == line[RUN - 1 :]) & (count[line[: len(line) - RUN + 1]] >= least))
-    at = np.unique(start + np.lib.stride_tricks.sliding_window_view(g, window)[start].argmin(axis=1))
-    return line[at], at - w.first[line[at]], g[at]
+def shared_run(words: int, words_per_edit: int) -> int:
+    """How long a run of words a line of so many words shares at least with any line within the bound, where that is two edits or more."""
+    longest = max(words, 2 * words_per_edit)
+    runs = (-(-(n - n // words_per_edit) // (n // words_per_edit + 1)) for n in range(longest, max(longest, words * words_per_edit // (words_per_edit - 1) + 1) + 1))
+    return min(runs)
+
 
+def _windows(words_per_edit: int) -> np.ndarray:
+    """By number of words: the window of a line's anchors. What a wider window picks in a shared run, a narrower one picks too, so lines of other lengths agree."""
+    known = np.array([shared_run(max(n, 1), words_per_edit) for n in range(100 * words_per_edit)])
+    # runs of longer lines are no shorter than the last whole round's
+    known[-1] = known[-words_per_edit * 4 :].min()
+    return known - ANCHOR_WORDS + 1
 
-def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(anchor, h1): anchors of all lines of ``least`` or more words."""
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices of consecutive runs: counts[i] from starts[i] on."""
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+
+
+def _sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
+    """``best`` (minimum or maximum) of each ``size`` consecutive values, by doubling."""
+    out, have = x, 1
+    while have < size:
+        step = min(have, size - have)
+        out = best(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def _anchors(w: Words, lines: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, anchor, lo, hi): the distinct anchors of ``lines``, in order, with their first and last places in the line."""
+    g, count = run_hashes(w.hashes, ANCHOR_WORDS), np.diff(w.first)
+    width = windows[np.minimum(count[lines], len(windows) - 1)]
+    picked = []
+    for size in np.unique(width):
+        some = lines[width == size]
+        n = count[some] - ANCHOR_WORDS + 1  # grams of a line
+        at = _ragged(w.first[some], n)
+        own = g[at]
+        least = _sliding(own, size, np.minimum)
+        end = np.cumsum(n)
+        # windows that reach into the next line pick nothing
+        for k in range(1, size):
+            over = end[:-1] - k
+            least[over[over < len(least)]] = 0
+        # a gram is an anchor if it is the least of a window: the largest of all windows over it is the gram itself
+        wide = np.zeros(len(own) + size - 1, np.uint64)
+        wide[size - 1 : size - 1 + len(least)] = least
+        picked.append(at[_sliding(wide, size, np.maximum) == own])
+    at = np.sort(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
+    line, anchor = np.searchsorted(w.first, at, "right") - 1, g[at]
+    order = np.lexsort((anchor, line))  # stable: places stay in order
+    at, line, anchor = at[order], line[order], anchor[order]
+    begin = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (anchor[1:] != anchor[:-1]))) if len(at) else at
+    place = at - w.first[line]
+    return line[begin], anchor[begin], place[begin], place[np.append(begin[1:], len(at)) - 1] if len(at) else place
+
+
+def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, least: int, windows: np.ndarray, firsts: DataFrame) -> DataFrame:
+    """(anchor, p): anchors of lines of ``least`` or more words, of equal lines only the earliest and a few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(firsts, "p"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, _, w, s in _line_words(batch.column(0)):
-            line, _, anchor = _anchors(w, least)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(s.of(w.first[line], w.first[line + 1]).view(np.int64))], ["anchor", "h1"])
+        key = batch.column(0).to_numpy()
+        for text, number, w, _ in _line_words(batch.column(1)):
+            p = _place_hash(key[text], number)
+            line, anchor, _, _ = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value, p)), windows)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(p[line].view(np.int64))], ["anchor", "p"])
 
-    return arrow_map(docs.where(docs[id_col].isNotNull()).select(docs[text_col]), run, "anchor long, h1 long")
+    ids = docs[id_col].cast("long")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "anchor long, p long")
 
 
 def _sketches(w: Words, lines: np.ndarray) -> np.ndarray:
@@ -176,42 +232,41 @@ def _sketches(w: Words, lines: np.ndarray) -> np.ndarray:
     for at in range(0, len(lines), 1024):
         some = lines[at : at + 1024]
         a, n = w.first[some], w.first[some + 1] - w.first[some]
-        index = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        bit = (w.hashes[index] >> np.uint64(17)).astype(np.int64) & (BITS - 1)
+        bit = (w.hashes[_ragged(a, n)] >> np.uint64(17)).astype(np.int64) & (BITS - 1)
         odd = np.bincount(np.repeat(np.arange(len(some)), n) * BITS + bit, minlength=len(some) * BITS).astype(np.uint8) & 1
         out[at : at + 1024] = np.packbits(odd.reshape(len(some), BITS), axis=1).view(np.int64)
     return out
 
 
-def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, shared: DataFrame) -> DataFrame:
-    """(id, line, h1, h2, words, anchors, places, s0...) of lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "anchor"))
+def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, windows: np.ndarray, firsts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, line, words, anchors, lo, hi, s0...) of the earliest lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap(firsts, "p"), bitmap(shared, "anchor")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for text, number, w, s in _line_words(batch.column(1)):
-            line, place, anchor = _anchors(w, least)
-            hit = in_bitmap(bits.value, anchor)
-            line, place, anchor = line[hit], place[hit], anchor[hit]
+        key = batch.column(0).to_numpy()
+        for text, number, w, _ in _line_words(batch.column(1)):
+            line, anchor, lo, hi = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value[0], _place_hash(key[text], number))), windows)
+            hit = in_bitmap(bits.value[1], anchor)
+            line, anchor, lo, hi = line[hit], anchor[hit], lo[hit], hi[hit]
             pick, begin = np.unique(line, return_index=True)
-            ends = list(zip(begin, np.append(begin[1:], len(line)), strict=True))
-            h1, h2, _ = _hashed(w, s)
-            sketch = _sketches(w, pick)
+            sketch, bounds = _sketches(w, pick), pa.array(np.append(begin, len(line)).astype(np.int32))
+            n = w.first[pick + 1] - w.first[pick]
+            held = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(text[pick])),
                     pa.array(number[pick].astype(np.int32)),
-                    *(pa.array(h[pick].view(np.int64)) for h in (h1, h2)),
-                    lists([w.hashes[w.first[i] : w.first[i + 1]] for i in pick], pa.int64()),
-                    lists([anchor[a:b] for a, b in ends], pa.int64()),
-                    lists([place[a:b].astype(np.int32) for a, b in ends], pa.int32()),
+                    pa.ListArray.from_arrays(held, pa.array(w.hashes[_ragged(w.first[pick], n)].view(np.int64))),
+                    pa.ListArray.from_arrays(bounds, pa.array(anchor.view(np.int64))),
+                    *(pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (lo, hi)),
                     *(pa.array(np.ascontiguousarray(c)) for c in sketch.T),
                 ],
-                ["id", "line", "h1", "h2", "words", "anchors", "places", *_LONGS],
+                ["id", "line", "words", "anchors", "lo", "hi", *_LONGS],
             )
 
     ids = docs[id_col].cast("long")
     longs = ", ".join(f"{x} long" for x in _LONGS)
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, f"id long, line int, h1 long, h2 long, words array<long>, anchors array<long>, places array<int>, {longs}")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, f"id long, line int, words array<long>, anchors array<long>, lo array<int>, hi array<int>, {longs}")
 
 
 def _class_of(size: Column) -> Column:
@@ -230,19 +285,19 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
     if 2 * words_per_edit < 3 * RUN:
         raise ValueError(f"words_per_edit under {-(-3 * RUN // 2)}: near lines need not share a run of {RUN} words")
     least = 2 * words_per_edit - 2  # of the shorter line, where the longer one has two edits
-    shared = _anchor_rows(docs, id_col, text_col, least).groupBy("anchor").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("anchor")
+    windows = _windows(words_per_edit)
+    wanted = stage(spark, classes.where(F.col("size") >= least).select(F.col("rep").alias("at"), "p"), "long-lines", narrow=True)
+    shared = _anchor_rows(docs, id_col, text_col, least, windows, wanted).groupBy("anchor").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("anchor")
     shared = stage(spark, shared, "anchors", narrow=True)
-    drawn = _anchored(docs, id_col, text_col, least, shared).withColumn("at", place(F.col("id"), F.col("line")))
-    wanted = classes.where(F.col("size") >= least).select("h1", "h2", "rep")
-    near = drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep))
-    near = near.select("at", F.size("words").alias("size"), "words", "anchors", "places", *_LONGS).dropDuplicates(["at"]).join(settled.withColumn("done", F.lit(True)), "at", "left")
-    near = stage(spark, near.withColumn("done", F.coalesce("done", F.lit(False))), "anchored")
+    drawn = stage(spark, _anchored(docs, id_col, text_col, least, windows, wanted, shared).withColumn("at", place(F.col("id"), F.col("line"))).drop("id", "line"), "anchored")
+    words = drawn.select("at", F.col("words").alias("x"))
+    near = drawn.withColumn("size", F.size("words")).drop("words").join(wanted, "at", "left_semi").dropDuplicates(["at"]).join(settled.withColumn("done", F.lit(True)), "at", "left")
+    near = stage(spark, near.withColumn("done", F.coalesce("done", F.lit(False))), "near-lines")
     thin = near.select("at", "size", *_LONGS)
     other = thin.select(*[F.col(c).alias("o_" + c) for c in thin.columns])
     bound = F.floor(F.greatest("size", "o_size") / words_per_edit).cast("int")
     z = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("o_" + s))) for s in _LONGS), F.lit(0))
     alike = (F.abs(F.col("size") - F.col("o_size")) <= bound) & (z <= 2 * bound)
-    words = near.select("at", F.col("words").alias("x"))
     kind = near.schema["at"].dataType.simpleString()
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -256,32 +311,32 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
         found = arrow_map(seen, verify, f"at {kind}, keep {kind}, distance int")
         return stage(spark, found.groupBy("at").agg(F.min(F.struct("keep", "distance")).alias("b")).select("at", "b.keep", "b.distance"), label, narrow=True)
 
-    firsts = near.select("at", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last"), F.count("*").alias("n")).where("keep <> last")
-    firsts = stage(spark, firsts.select("anchor", "keep", "n"), "first-anchors", narrow=True)
+    firsts = near.select("at", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last")
+    firsts = stage(spark, firsts.select("anchor", "keep"), "first-anchors", narrow=True)
     open_ = near.where(~F.col("done"))
-    led = join_salted(stage(spark, open_.select("at", F.explode("anchors").alias("anchor")), "open-anchors", narrow=True), firsts.select("anchor", "keep"), "anchor", "at")
+    led = join_salted(open_.select("at", F.explode("anchors").alias("anchor")), firsts, "anchor", "at")
     led = stage(spark, led.where("keep < at").select("at", "keep").distinct(), "led", narrow=True)
     led = join_salted(led, other.withColumnRenamed("o_at", "keep"), "keep", "at").join(thin, "at").where(alike).select("at", "keep")
     first = verified(stage(spark, led, "led-alike", narrow=True), "far-first")
 
-    kinds = _class_of(F.col("size"))
+    held = near.select("at", "size", F.explode(F.arrays_zip("anchors", "lo", "hi")).alias("a")).select("at", "size", F.col("a.anchors").alias("anchor"), "a.lo", "a.hi")
     width = _cell_width(F.col("kind"), words_per_edit)
-    held = near.select("at", "size", *_LONGS, "done", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("at", "size", *_LONGS, "done", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("p"))
-    base = held.withColumn("kind", kinds).withColumn("cell", F.floor(F.col("p") / width).cast("int")).select("anchor", "kind", "cell", F.col("p").alias("o_p"), *[F.col(c).alias("o_" + c) for c in thin.columns])
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / width).cast("int"), F.floor(high / width).cast("int")))
     shift = F.floor(F.col("size") / (words_per_edit - 1)).cast("int")
 
-    def met(rest: DataFrame) -> DataFrame:
-        """Pairs of the lines ``rest`` (at) with earlier ones that may be within the bound."""
-        light = held.join(rest, "at", "left_semi").withColumn("kind", F.explode(F.sequence(_class_of(F.col("size") - shift), _class_of(F.col("size") + shift))))
-        light = light.withColumn("cell", F.explode(F.sequence(F.floor((F.col("p") - width / 2) / width).cast("int"), F.floor((F.col("p") + width / 2) / width).cast("int"))))
-        pairs = light.join(base, ["anchor", "kind", "cell"]).where((F.col("o_at") < F.col("at")) & (F.abs(F.col("p") - F.col("o_p")) <= bound) & alike)
-        return pairs.select("at", F.col("o_at").alias("keep"), z.alias("z"))
-
     rest = stage(spark, open_.select("at").join(first.select("at"), "at", "left_anti"), "open", narrow=True)
-    closest = stage(spark, met(rest).groupBy("at").agg(F.min(F.struct("z", "keep")).alias("b")).select("at", "b.keep"), "closest", narrow=True)
+    light = held.join(rest, "at", "left_semi").join(firsts, "anchor").where("keep < at").select("at", "size", "anchor", "lo", "hi")
+    light = stage(spark, light, "open-anchors", narrow=True)
+    base = held.join(light.select("anchor").distinct(), "anchor", "left_semi").withColumn("kind", _class_of(F.col("size"))).withColumn("cell", cells(F.col("lo"), F.col("hi")))
+    base = base.select("at", "anchor", "kind", "cell", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi")).join(other, F.col("at") == F.col("o_at")).drop("at")
+    light = light.join(thin.drop("size"), "at").withColumn("kind", F.explode(F.sequence(_class_of(F.col("size") - shift), _class_of(F.col("size") + shift))))
+    light = light.withColumn("cell", cells(F.col("lo") - width / 2, F.col("hi") + width / 2))
+    met = light.join(base, ["anchor", "kind", "cell"]).where((F.col("o_at") < F.col("at")) & (F.col("lo") - F.col("o_hi") <= bound) & (F.col("o_lo") - F.col("hi") <= bound) & alike)
+    met = stage(spark, met.select("at", F.col("o_at").alias("keep"), z.alias("z")).distinct(), "met", narrow=True)
+    closest = stage(spark, met.groupBy("at").agg(F.min(F.struct("z", "keep")).alias("b")).select("at", "b.keep"), "closest", narrow=True)
     second = verified(closest, "far-second")
-    rest = stage(spark, closest.select("at").join(second.select("at"), "at", "left_anti"), "open", narrow=True)
-    third = verified(stage(spark, met(rest).select("at", "keep").distinct(), "others", narrow=True), "far-third")
+    others = met.select("at", "keep").join(second.select("at"), "at", "left_anti").join(closest, ["at", "keep"], "left_anti")
+    third = verified(stage(spark, others, "others", narrow=True), "far-third")
     return first.union(second).union(third)
 
 
@@ -312,7 +367,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = stage(spark, occurrences(docs, id_col, text_col, near_words), "lines")
     place, id_of, line_of = _places(lines)
     at = place(F.col("id"), F.col("line"))
-    classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("rep"), F.max(at).alias("last"), *[F.max(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3")])
+    classes = lines.groupBy("h1", "h2").agg(F.min(at).alias("rep"), F.max(at).alias("last"), F.min_by("p", at).alias("p"), *[F.max(c).alias(c) for c in ("size", "b0", "b1", "b2", "b3")])
     classes = stage(spark, classes, "line-classes")
     again = classes.where("rep <> last").select("h1", "h2", "rep")
     exact = lines.select("h1", "h2", at.alias("at")).join(again, ["h1", "h2"]).where("at <> rep")
