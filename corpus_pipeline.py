@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm.common import stage, table
+from corpuslens.llm.common import scratch, scratch_scope, table
 from corpuslens.llm.leaks import drop_leaks
 from corpuslens.llm.lines import drop_duplicate_lines
 from corpuslens.llm.neardup import keep_one
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of repeated lines alone go."""
+    """Documents without repeated lines, equal or within one word edit; those of repeated lines alone go."""
     return drop_duplicate_lines(docs)
 
 
@@ -45,8 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each but the last written and read again."""
+    """The stages over ``documents``, each but the last written and read again. A stage's own tables go when it is written."""
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(spark, function(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with scratch_scope(spark):
+            done = function(spark, docs, sf_dir)
+            done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
