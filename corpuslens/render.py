@@ -61,7 +61,7 @@ def summary_text(report: Column, config: AuditConfig = DEFAULT) -> Column:
     )
 
 
-def markdown(report: Column, run_url: str, config: AuditConfig = DEFAULT) -> Column:
+def markdown(report: Column, run_url: Column | str, config: AuditConfig = DEFAULT) -> Column:
     """A bounded report for a pull request: ten graded findings of three places each, eight of the rest."""
     r, c = report, report["summary"]["counts"]
     graded, info = F.filter(r["findings"], lambda f: f["severity"] != "info"), F.filter(r["findings"], lambda f: f["severity"] == "info")
@@ -72,7 +72,7 @@ def markdown(report: Column, run_url: str, config: AuditConfig = DEFAULT) -> Col
         return lines(head, flat(F.slice(f["evidence"], 1, 3), site))
 
     more = lambda items, most, text: F.when(F.size(items) > most, F.concat(F.lit("- …and "), (F.size(items) - most).cast("string"), F.lit(text)))
-    head = F.concat(F.lit("**Grade: "), r["summary"]["grade"], F.lit("** · coverage: "), coverage_of(r, config), F.lit(" · audited `"), r["target"]["specifier"], F.lit(f"` · [run]({run_url})"))
+    head = F.concat(F.lit("**Grade: "), r["summary"]["grade"], F.lit("** · coverage: "), coverage_of(r, config), F.lit(" · audited `"), r["target"]["specifier"], F.lit("` · [run]("), F.lit(run_url) if isinstance(run_url, str) else run_url, F.lit(")"))
     table = F.concat(F.lit("| "), F.concat_ws(" | ", *[c[s].cast("string") for s in ("critical", "high", "medium", "low", "info")]), F.lit(" |"))
     some, rest = F.size(graded) > 0, F.size(info) > 0
     return lines(
@@ -152,6 +152,11 @@ def diff_markdown(diff: Column, config: AuditConfig = DEFAULT) -> Column:
     return lines(*parts, F.lit(SCOPE))
 
 
+def unavailable_markdown(reason: Column, config: AuditConfig = DEFAULT) -> Column:
+    """The section of a comparison that did not come about; the scan's own report stands."""
+    return lines(F.lit(f"### {config.tool} comparison"), F.lit(""), F.concat(F.lit("Comparison unavailable: "), F.substring(escape_markdown(reason), 1, 400)), F.lit(SCOPE))
+
+
 def rendered(reports: DataFrame, column: Column, name: str = "text") -> DataFrame:
     """(pkg_id, name)."""
     return reports.select("pkg_id", column.alias(name))

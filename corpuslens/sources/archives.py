@@ -13,21 +13,15 @@ from pyspark.sql import functions as F
 
 from .packages import _ARROW, FILES_SCHEMA, is_source
 
-#: An archive that unpacks to more is refused.
-MOST_BYTES = 1 << 30
-
 
 def entries(data: bytes) -> Iterator[tuple[str, str, bytes | None, str | None, str | None]]:
     """(path, kind, content, reason, detail) of an archive. Links are omissions, devices are left out.
 
-    A path that leaves the archive's root is an error, as is an archive that is none.
+    A path that leaves the archive's root is an error, as is an archive that is none. It is unpacked as a stream, of any
+    size: beside its packed bytes, one entry is held.
     """
-    if data[:2] == b"\x1f\x8b":
-        with gzip.GzipFile(fileobj=io.BytesIO(data)) as packed:
-            data = packed.read(MOST_BYTES + 1)
-        if len(data) > MOST_BYTES:
-            raise ValueError("archive is too large")
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:", errorlevel=1) as archive:
+    raw = io.BytesIO(data)
+    with tarfile.open(fileobj=gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw, mode="r|", errorlevel=1) as archive:
         for member in archive:
             name = member.name.removeprefix("./").removeprefix("package/")
             if member.isdir() or name in ("", ".", "package"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 
+# The forms of Git and npm specifiers.
 _GIT = r"^(?:git\+)?(?:ssh://|https?://|git@)\S+$|^(?:github|gitlab|bitbucket):\S+$"
 _NPM = r"^@[^/\s]+/[^@\s]+(?:@[^@\s]+)?$|^[^@\s][^/\s]*$"
 
