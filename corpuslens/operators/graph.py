@@ -1,27 +1,38 @@
-"""Reachability over edge tables by frontier iteration.
+"""Reachability over edge tables.
 
-Each round follows HOPS edges from the frontier alone, drops what was seen, and writes the new frontier once; what was
-seen is the union of the frontiers, so nothing is written twice. Rounds are the longest shortest path by HOPS; a node is
-expanded in its own round and at most once more.
+The graphs of the audits are many and small: a package's modules. So the edges of a key are first counted; where each
+key's walk is at most LOCAL steps, a key is walked whole by one task. Larger graphs are walked by frontier iteration:
+each round follows HOPS edges from the frontier alone, drops what was seen, and writes the new frontier once. Rounds are
+the longest shortest path by HOPS; a node is expanded in its own round and at most once more.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import cut
 
 HOPS = 4
+#: Steps of one key's walks (edges, for each source) that one task takes; some 200 bytes of memory each at most.
+LOCAL = 1_000_000
 
 
 def _walk(edges: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
     """``first`` (keys, node) and all that follows by ``edges`` (a prefix of the keys, src, dst)."""
     on = [k for k in keys if k in edges.columns]
     edges = cut(edges.select(*on, "src", "dst").distinct())
-    fronts = [cut(first.select(*keys, "node").distinct())]
+    first = cut(first.select(*keys, "node").distinct())
+    own = [k for k in keys if k not in on]
+    walks = first.groupBy(*on).agg(F.count_distinct(*own).alias("_walks")) if own else first.select(*on).distinct().withColumn("_walks", F.lit(1))
+    sizes = edges.groupBy(*on).agg(F.count("*").alias("_edges"))
+    steps = (sizes.join(walks, on) if on else sizes.crossJoin(walks)).agg(F.max(F.col("_edges") * F.col("_walks"))).first()[0]
+    if (steps or 0) <= LOCAL:
+        return _walk_whole(edges, first, on, keys)
+    fronts = [first]
     while not fronts[-1].isEmpty():
         hops = [fronts[-1]]
         for _ in range(HOPS):
@@ -31,6 +42,35 @@ def _walk(edges: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(DataFrame.union, fronts)
 
 
+def _walk_whole(edges: DataFrame, first: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """The same, each key's walks in one task."""
+    schema = first.schema
+    names = [*keys, "node"]
+
+    def run(links: pa.Table, starts: pa.Table) -> pa.Table:
+        follow: dict = {}
+        for src, dst in zip(links["src"].to_pylist(), links["dst"].to_pylist(), strict=True):
+            follow.setdefault(src, []).append(dst)
+        fronts: dict[tuple, list] = {}
+        for *key, node in zip(*(starts[c].to_pylist() for c in names), strict=True):
+            fronts.setdefault(tuple(key), []).append(node)
+        out: list[list] = [[] for _ in names]
+        for key, front in fronts.items():
+            seen, stack = set(front), list(front)
+            while stack:
+                for node in follow.get(stack.pop(), ()):
+                    if node not in seen:
+                        seen.add(node)
+                        stack.append(node)
+            for column, value in zip(out, key, strict=False):
+                column.extend([value] * len(seen))
+            out[-1].extend(seen)
+        return pa.table({c: pa.array(v, starts.schema.field(c).type) for c, v in zip(names, out, strict=True)})
+
+    by = [F.col(k) for k in on] or [F.lit("all")]
+    return edges.groupBy(*by).cogroup(first.groupBy(*by)).applyInArrow(run, schema)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, node): the starts and all nodes that edges (keys, src, dst) lead to."""
     return _walk(edges, starts, list(keys))

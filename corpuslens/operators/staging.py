@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none (tests)."""
+    """``spark.checkpoint.dir``; a temporary folder only in local mode (tests). On a cluster without one this raises."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuslens-"))
     return context._jsc.sc().getCheckpointDir().get()
 

