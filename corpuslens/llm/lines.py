@@ -35,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bitmap, free_names, in_bitmap, join_salted, stage
-from .kernels import Spans, Words, chunks, lists, mix, run_hashes, words_of
+from .kernels import Spans, Words, chunks, mix, run_hashes, words_of
 
 NEAR_WORDS = 6
 #: Words of an anchor; the shortest run that two lines must share.
 ANCHOR_WORDS, RUN = 6, 13
 #: Bits of a line's odd sketch, and by how much lengths of one class differ at most.
 BITS, CLASS = 512, 1.12
+#: An anchor that more lines hold is joined by length and place too.
+OFTEN = 128
 _LONGS = [f"s{i}" for i in range(BITS // 64)]
 _SALT = np.uint64(0x51ED270B9F1A3C25)
 
@@ -68,8 +70,18 @@ def _place_hash(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix(mix(ids.view(np.uint64)) + number.astype(np.uint64))
 
 
+def _runs(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A list column of consecutive runs of hashes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(hashes.view(np.int64)))
+
+
+def _rows_in(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows whose first column, an id, is in the bitmap: other documents' words need not be read."""
+    return batch.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy())))
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(id, line, p, h1, h2, size, b0..b3): every line with words; p: a hash of its place, b: of its halves, null for short lines."""
+    """(id, line, p, h1, h2, size, b0..b3): every line with words; p: a hash of its place, b: of its halves, null for short lines and where two are one."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
@@ -77,13 +89,13 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = N
             h1, h2, size = _hashed(w, s)
             a, b = w.first[:-1], w.first[1:]
             halves = []
-            for length in ((size - 1) // 2, (size + 1) // 2):
-                length = np.maximum(length, 0)
+            for length in (size // 2, (size + 1) // 2):
                 halves += [mix(s.of(a, np.minimum(a + length, b)) + np.uint64(1)), mix(s.of(np.maximum(b - length, a), b) + np.uint64(2))]
             there, short = size > 0, size < near_words
+            once = short | (size % 2 == 0)  # of an even line both lengths are one
             at = pa.array(text[there])
             arrays = [batch.column(0).take(at), pa.array(number[there].astype(np.int32)), *(pa.array(h[there].view(np.int64)) for h in (_place_hash(key[text], number), h1, h2)), pa.array(size[there].astype(np.int32))]
-            arrays += [pa.array(h[there].view(np.int64), mask=short[there]) for h in halves]
+            arrays += [pa.array(h[there].view(np.int64), mask=no[there]) for h, no in zip(halves, (short, short, once, once), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "p", "h1", "h2", "size", "b0", "b1", "b2", "b3"])
 
     ids = docs[id_col].cast("long")
@@ -91,31 +103,33 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = N
 
 
 def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, near_words: int) -> DataFrame:
-    """(id, line, h1, h2, words, itself, variants) of lines whose h1 is in ``wanted`` (and a few others); of equal lines in a chunk the earliest."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("h1"), "h1"))
+    """(id, line, h1, h2, words, start, variants) of the lines of ``wanted`` (id, p, heads, tails) and a few others; of equal lines in a chunk the earliest.
+
+    heads and tails say which half of the line occurs in another line; the words of the other half are left out one by one, from word ``start`` on.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, "id"), bitmap(wanted.where("heads"), "p"), bitmap(wanted.where("tails"), "p")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = _rows_in(bits.value[0], batch)
         key = batch.column(0).to_numpy()
         for text, number, w, s in _line_words(batch.column(1)):
             h1, h2, size = _hashed(w, s)
-            pick = np.flatnonzero((size >= near_words) & in_bitmap(bits.value, h1))
+            p = _place_hash(key[text], number)
+            head, tail = in_bitmap(bits.value[1], p), in_bitmap(bits.value[2], p)
+            pick = np.flatnonzero((size >= near_words) & (head | tail))
             pick = pick[np.lexsort((number[pick], key[text[pick]], h1[pick]))]
             pick = pick[np.append(True, h1[pick][1:] != h1[pick][:-1])] if len(pick) else pick
             a, b = w.first[:-1][pick], w.first[1:][pick]
             n = b - a
-            begin = np.concatenate(([0], np.cumsum(n)))
-            inside = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
-            gone = s.without(np.repeat(a, n), np.repeat(b, n), np.repeat(a, n) + inside)
-            own = w.hashes[np.repeat(a, n) + inside]
-            # deleting either of two equal neighbours leaves the same line: one key is enough without position
-            parts = list(zip(begin[:-1], begin[1:], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[text[pick]]), pa.array(number[pick].astype(np.int32)), *(pa.array(h[pick].view(np.int64)) for h in (h1, h2)), lists([own[x:y] for x, y in parts], pa.int64()), lists([gone[x:y] for x, y in parts], pa.int64())],
-                ["id", "line", "h1", "h2", "words", "variants"],
-            )
+            start, stop = np.where(tail[pick], 0, n // 2), np.where(head[pick], n, n - n // 2)
+            count = stop - start
+            gone = s.without(np.repeat(a, count), np.repeat(b, count), _ragged(a + start, count))
+            arrays = [pa.array(key[text[pick]]), pa.array(number[pick].astype(np.int32)), *(pa.array(h[pick].view(np.int64)) for h in (h1, h2))]
+            arrays += [_runs(w.hashes[_ragged(a, n)], n), pa.array(start.astype(np.int32)), _runs(gone, count)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "h1", "h2", "words", "start", "variants"])
 
     ids = docs[id_col].cast("long")
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, h1 long, h2 long, words array<long>, variants array<long>")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, h1 long, h2 long, words array<long>, start int, variants array<long>")
 
 
 def within_one(x: list[int], y: list[int]) -> bool:
@@ -227,46 +241,67 @@ def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, least: int, window
 
 
 def _sketches(w: Words, lines: np.ndarray) -> np.ndarray:
-    """(lines, BITS // 64): for each bit whether an odd number of the line's words falls on it."""
+    """(lines, BITS // 64): for each bit whether an odd number of the line's words falls on it. A word's second occurrence is another word than its first."""
     out = np.zeros((len(lines), BITS // 64), np.int64)
+    low = np.uint64((1 << 54) - 1)
     for at in range(0, len(lines), 1024):
         some = lines[at : at + 1024]
         a, n = w.first[some], w.first[some + 1] - w.first[some]
-        bit = (w.hashes[_ragged(a, n)] >> np.uint64(17)).astype(np.int64) & (BITS - 1)
-        odd = np.bincount(np.repeat(np.arange(len(some)), n) * BITS + bit, minlength=len(some) * BITS).astype(np.uint8) & 1
+        own = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), n) << np.uint64(54)) | (w.hashes[_ragged(a, n)] >> np.uint64(10)))
+        here = np.arange(len(own))
+        again = here - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1])[: len(own)], here, 0)) if len(own) else here
+        bit = mix((own & low) + again.astype(np.uint64) * _SALT).astype(np.int64) & (BITS - 1)
+        odd = np.bincount((own >> np.uint64(54)).astype(np.int64) * BITS + bit, minlength=len(some) * BITS).astype(np.uint8) & 1
         out[at : at + 1024] = np.packbits(odd.reshape(len(some), BITS), axis=1).view(np.int64)
     return out
 
 
 def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, windows: np.ndarray, firsts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(id, line, words, anchors, lo, hi, s0...) of the earliest lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
+    """(id, line, p, size, anchors, lo, hi, s0...) of the earliest lines of ``least`` or more words that hold one of ``shared`` (and a few others)."""
     bits = docs.sparkSession.sparkContext.broadcast((bitmap(firsts, "p"), bitmap(shared, "anchor")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
         for text, number, w, _ in _line_words(batch.column(1)):
-            line, anchor, lo, hi = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value[0], _place_hash(key[text], number))), windows)
+            p = _place_hash(key[text], number)
+            line, anchor, lo, hi = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value[0], p)), windows)
             hit = in_bitmap(bits.value[1], anchor)
             line, anchor, lo, hi = line[hit], anchor[hit], lo[hit], hi[hit]
             pick, begin = np.unique(line, return_index=True)
             sketch, bounds = _sketches(w, pick), pa.array(np.append(begin, len(line)).astype(np.int32))
-            n = w.first[pick + 1] - w.first[pick]
-            held = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(text[pick])),
                     pa.array(number[pick].astype(np.int32)),
-                    pa.ListArray.from_arrays(held, pa.array(w.hashes[_ragged(w.first[pick], n)].view(np.int64))),
+                    pa.array(p[pick].view(np.int64)),
+                    pa.array((w.first[pick + 1] - w.first[pick]).astype(np.int32)),
                     pa.ListArray.from_arrays(bounds, pa.array(anchor.view(np.int64))),
                     *(pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (lo, hi)),
                     *(pa.array(np.ascontiguousarray(c)) for c in sketch.T),
                 ],
-                ["id", "line", "words", "anchors", "lo", "hi", *_LONGS],
+                ["id", "line", "p", "size", "anchors", "lo", "hi", *_LONGS],
             )
 
     ids = docs[id_col].cast("long")
     longs = ", ".join(f"{x} long" for x in _LONGS)
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, f"id long, line int, words array<long>, anchors array<long>, lo array<int>, hi array<int>, {longs}")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, f"id long, line int, p long, size int, anchors array<long>, lo array<int>, hi array<int>, {longs}")
+
+
+def _words_at(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(id, line, words) of the lines of ``wanted`` (id, p) and a few others. Only documents that hold one are split into words."""
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, "id"), bitmap(wanted, "p")))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = _rows_in(bits.value[0], batch)
+        key = batch.column(0).to_numpy()
+        for text, number, w, _ in _line_words(batch.column(1)):
+            pick = np.flatnonzero(in_bitmap(bits.value[1], _place_hash(key[text], number)))
+            n = w.first[pick + 1] - w.first[pick]
+            words = _runs(w.hashes[_ragged(w.first[pick], n)], n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[pick])), pa.array(number[pick].astype(np.int32)), words], ["id", "line", "words"])
+
+    ids = docs[id_col].cast("long")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "id long, line int, words array<long>")
 
 
 def _class_of(size: Column) -> Column:
@@ -279,7 +314,51 @@ def _cell_width(kind: Column, words_per_edit: int) -> Column:
     return 2 * (F.floor(longest / words_per_edit).cast("int") + 1)
 
 
-def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settled: DataFrame, place: Callable[[Column, Column], Column], words_per_edit: int) -> DataFrame:
+def _compared(near: DataFrame, words_per_edit: int) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Lines, the same as o_ lines, whether a line and an o_ line may be within the bound, and the odd bits of their sketches.
+
+    With s changed and i other edits their bags differ by at most 2 * s + i words and their lengths by at most i.
+    """
+    thin = near.select("at", "p", "size", *_LONGS)
+    other = thin.select(*[F.col(c).alias("o_" + c) for c in thin.columns])
+    apart, z = F.abs(F.col("size") - F.col("o_size")), sum((F.bit_count(F.col(s).bitwiseXOR(F.col("o_" + s))) for s in _LONGS), F.lit(0))
+    bound = _bound(words_per_edit)
+    return thin, other, (apart <= bound) & (z + apart <= 2 * bound), z
+
+
+def _bound(words_per_edit: int) -> Column:
+    return F.floor(F.greatest("size", "o_size") / words_per_edit).cast("int")
+
+
+def _held(near: DataFrame) -> DataFrame:
+    """(at, size, anchor, lo, hi): each anchor of each line."""
+    rows = near.select("at", "size", F.explode(F.arrays_zip("anchors", "lo", "hi")).alias("a"))
+    return rows.select("at", "size", F.col("a.anchors").alias("anchor"), "a.lo", "a.hi")
+
+
+def _meetings(near: DataFrame, light: DataFrame, words_per_edit: int) -> DataFrame:
+    """Pairs of a line of ``light`` (rows of ``_held``, first and often) and an earlier line of ``near`` that may be within the bound.
+
+    They meet at each anchor that both hold and whose first line is neither of them: pairs with first lines have been
+    compared. Where an anchor is held often, class of length and cell of place are keys too.
+    """
+    thin, other, alike, _ = _compared(near, words_per_edit)
+    width = _cell_width(F.col("kind"), words_per_edit)
+    shift = F.floor(F.col("size") / (words_per_edit - 1)).cast("int")
+    if_often = lambda value: F.when(F.col("often"), value).otherwise(F.array(F.lit(0)))
+    cells = lambda low, high: F.explode(if_often(F.sequence(F.floor(low / width).cast("int"), F.floor(high / width).cast("int"))))
+
+    base = _held(near).join(light.select("anchor", "first", "often").distinct(), "anchor").where("at <> first")
+    base = base.withColumn("kind", F.when(F.col("often"), _class_of(F.col("size"))).otherwise(0)).withColumn("cell", cells(F.col("lo"), F.col("hi")))
+    base = base.select("at", "anchor", "kind", "cell", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi")).join(other, F.col("at") == F.col("o_at")).drop("at")
+    light = light.join(thin.drop("size"), "at").withColumn("kind", F.explode(if_often(F.sequence(_class_of(F.col("size") - shift), _class_of(F.col("size") + shift)))))
+    light = light.withColumn("cell", cells(F.col("lo") - width / 2, F.col("hi") + width / 2))
+    bound = _bound(words_per_edit)
+    fits = (F.col("lo") - F.col("o_hi") <= bound) & (F.col("o_lo") - F.col("hi") <= bound)
+    return light.join(base, ["anchor", "kind", "cell"]).where((F.col("o_at") < F.col("at")) & fits & alike)
+
+
+def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settled: DataFrame, place: Callable[[Column, Column], Column], id_of: Callable[[str], Column], words_per_edit: int) -> DataFrame:
     """(at, keep, distance): lines with an earlier line within one edit for each ``words_per_edit`` words, two at least, less those of ``settled`` (at)."""
     spark = docs.sparkSession
     if 2 * words_per_edit < 3 * RUN:
@@ -290,18 +369,18 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
     shared = _anchor_rows(docs, id_col, text_col, least, windows, wanted).groupBy("anchor").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("anchor")
     shared = stage(spark, shared, "anchors", narrow=True)
     drawn = stage(spark, _anchored(docs, id_col, text_col, least, windows, wanted, shared).withColumn("at", place(F.col("id"), F.col("line"))).drop("id", "line"), "anchored")
-    words = drawn.select("at", F.col("words").alias("x"))
-    near = drawn.withColumn("size", F.size("words")).drop("words").join(wanted, "at", "left_semi").dropDuplicates(["at"]).join(settled.withColumn("done", F.lit(True)), "at", "left")
+    near = drawn.join(wanted, "at", "left_semi").dropDuplicates(["at"]).join(settled.withColumn("done", F.lit(True)), "at", "left")
     near = stage(spark, near.withColumn("done", F.coalesce("done", F.lit(False))), "near-lines")
-    thin = near.select("at", "size", *_LONGS)
-    other = thin.select(*[F.col(c).alias("o_" + c) for c in thin.columns])
-    bound = F.floor(F.greatest("size", "o_size") / words_per_edit).cast("int")
-    z = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("o_" + s))) for s in _LONGS), F.lit(0))
-    alike = (F.abs(F.col("size") - F.col("o_size")) <= bound) & (z <= 2 * bound)
+    thin, other, alike, z = _compared(near, words_per_edit)
     kind = near.schema["at"].dataType.simpleString()
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        seen = join_salted(pairs, words.withColumnsRenamed({"at": "keep", "x": "y"}), "keep", "at").join(words, "at").select("at", "keep", "x", "y")
+    def words_for(pairs: DataFrame, label: str) -> DataFrame:
+        ends = pairs.select(id_of("at").alias("id"), "p").union(pairs.select(id_of("keep"), "o_p"))
+        found = _words_at(docs, id_col, text_col, ends).withColumn("at", place(F.col("id"), F.col("line")))
+        return stage(spark, found.select("at", F.col("words").alias("x")), label)
+
+    def verified(pairs: DataFrame, words: DataFrame, label: str) -> DataFrame:
+        seen = join_salted(pairs.select("at", "keep"), words.withColumnsRenamed({"at": "keep", "x": "y"}), "keep", "at").join(words, "at").select("at", "keep", "x", "y")
 
         def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             edits = [within(x, y, max(len(x), len(y)) // words_per_edit) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -311,32 +390,27 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
         found = arrow_map(seen, verify, f"at {kind}, keep {kind}, distance int")
         return stage(spark, found.groupBy("at").agg(F.min(F.struct("keep", "distance")).alias("b")).select("at", "b.keep", "b.distance"), label, narrow=True)
 
-    firsts = near.select("at", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last")
-    firsts = stage(spark, firsts.select("anchor", "keep"), "first-anchors", narrow=True)
+    firsts = near.select("at", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last"), F.count("*").alias("n")).where("keep <> last")
+    firsts = stage(spark, firsts.select("anchor", "keep", "n"), "first-anchors", narrow=True)
     open_ = near.where(~F.col("done"))
-    led = join_salted(open_.select("at", F.explode("anchors").alias("anchor")), firsts, "anchor", "at")
+    led = join_salted(open_.select("at", F.explode("anchors").alias("anchor")), firsts.drop("n"), "anchor", "at")
     led = stage(spark, led.where("keep < at").select("at", "keep").distinct(), "led", narrow=True)
-    led = join_salted(led, other.withColumnRenamed("o_at", "keep"), "keep", "at").join(thin, "at").where(alike).select("at", "keep")
-    first = verified(stage(spark, led, "led-alike", narrow=True), "far-first")
-
-    held = near.select("at", "size", F.explode(F.arrays_zip("anchors", "lo", "hi")).alias("a")).select("at", "size", F.col("a.anchors").alias("anchor"), "a.lo", "a.hi")
-    width = _cell_width(F.col("kind"), words_per_edit)
-    cells = lambda low, high: F.explode(F.sequence(F.floor(low / width).cast("int"), F.floor(high / width).cast("int")))
-    shift = F.floor(F.col("size") / (words_per_edit - 1)).cast("int")
+    led = join_salted(led, other.withColumnRenamed("o_at", "keep"), "keep", "at").join(thin, "at").where(alike).select("at", "keep", "p", "o_p")
+    led = stage(spark, led, "led-alike", narrow=True)
+    first = verified(led, words_for(led, "led-words"), "far-first")
 
     rest = stage(spark, open_.select("at").join(first.select("at"), "at", "left_anti"), "open", narrow=True)
-    light = held.join(rest, "at", "left_semi").join(firsts, "anchor").where("keep < at").select("at", "size", "anchor", "lo", "hi")
-    light = stage(spark, light, "open-anchors", narrow=True)
-    base = held.join(light.select("anchor").distinct(), "anchor", "left_semi").withColumn("kind", _class_of(F.col("size"))).withColumn("cell", cells(F.col("lo"), F.col("hi")))
-    base = base.select("at", "anchor", "kind", "cell", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi")).join(other, F.col("at") == F.col("o_at")).drop("at")
-    light = light.join(thin.drop("size"), "at").withColumn("kind", F.explode(F.sequence(_class_of(F.col("size") - shift), _class_of(F.col("size") + shift))))
-    light = light.withColumn("cell", cells(F.col("lo") - width / 2, F.col("hi") + width / 2))
-    met = light.join(base, ["anchor", "kind", "cell"]).where((F.col("o_at") < F.col("at")) & (F.col("lo") - F.col("o_hi") <= bound) & (F.col("o_lo") - F.col("hi") <= bound) & alike)
-    met = stage(spark, met.select("at", F.col("o_at").alias("keep"), z.alias("z")).distinct(), "met", narrow=True)
+    # whom an anchor's first line leads, that has been compared with it
+    more = firsts.where("n > 2").select("anchor", F.col("keep").alias("first"), (F.col("n") > OFTEN).alias("often"))
+    light = stage(spark, _held(near).join(rest, "at", "left_semi").join(more, "anchor").where("first < at"), "open-anchors", narrow=True)
+    met = _meetings(near, light, words_per_edit)
+    met = met.select("at", F.col("o_at").alias("keep"), "p", "o_p", z.alias("z")).distinct().join(led.select("at", "keep"), ["at", "keep"], "left_anti")
+    met = stage(spark, met, "met", narrow=True)
+    words = words_for(met, "met-words")
     closest = stage(spark, met.groupBy("at").agg(F.min(F.struct("z", "keep")).alias("b")).select("at", "b.keep"), "closest", narrow=True)
-    second = verified(closest, "far-second")
+    second = verified(closest, words, "far-second")
     others = met.select("at", "keep").join(second.select("at"), "at", "left_anti").join(closest, ["at", "keep"], "left_anti")
-    third = verified(stage(spark, others, "others", narrow=True), "far-third")
+    third = verified(stage(spark, others, "others", narrow=True), words, "far-third")
     return first.union(second).union(third)
 
 
@@ -373,14 +447,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = lines.select("h1", "h2", at.alias("at")).join(again, ["h1", "h2"]).where("at <> rep")
     exact = exact.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("rep").alias("keep_id"), line_of("rep").alias("keep_line"), F.lit(0).alias("distance"))
 
-    halves = classes.where(F.col("size") >= near_words).select("h1", F.explode(F.array_distinct(F.array("b0", "b1", "b2", "b3"))).alias("half"))
+    halves = classes.where(F.col("size") >= near_words).select("h1", F.posexplode(F.array("b0", "b1", "b2", "b3")).alias("side", "half")).where("half is not null")
     met = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
-    partners = stage(spark, halves.join(met, "half").select("h1").distinct(), "line-candidates", narrow=True)
-    wanted = classes.join(partners, "h1", "left_semi").select("h1", "h2", "rep")
-    drawn = _neighbourhoods(docs, id_col, text_col, partners, near_words).withColumn("at", at)
-    near = stage(spark, drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep)).select("at", drawn.h1, "words", "variants"), "neighbourhoods")
+    partners = halves.join(met, "half").groupBy("h1").agg(*[F.max(F.col("side") % 2 == k).alias(side) for k, side in enumerate(("heads", "tails"))])
+    partners = stage(spark, partners, "line-candidates", narrow=True)
+    wanted = stage(spark, classes.join(partners, "h1").select("h1", "h2", "rep", "p", id_of("rep").alias("id"), "heads", "tails"), "wanted-lines", narrow=True)
+    drawn = _neighbourhoods(docs, id_col, text_col, wanted, near_words).withColumn("at", at)
+    near = stage(spark, drawn.join(wanted, (drawn.h1 == wanted.h1) & (drawn.h2 == wanted.h2) & (drawn["at"] == wanted.rep)).select("at", drawn.h1, "words", "start", "variants"), "neighbourhoods")
 
-    changed = near.select("at", F.posexplode("variants").alias("p", "v")).select("at", F.xxhash64("v", "p").alias("key"))
+    changed = near.select("at", "start", F.posexplode("variants").alias("p", "v")).select("at", F.xxhash64("v", F.col("start") + F.col("p")).alias("key"))
     first = changed.groupBy("key").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where("keep <> last").select("key", "keep")
     swaps = changed.join(first, "key").where("at <> keep").select("at", "keep")
     shorter = near.select("at", F.explode(F.array_distinct("variants")).alias("key"))
@@ -401,7 +476,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if words_per_edit is None:
         return exact.union(edited)
     edited = stage(spark, edited, "edited", narrow=True)
-    far = _far(docs, id_col, text_col, classes, edited.select(at.alias("at")), place, words_per_edit)
+    far = _far(docs, id_col, text_col, classes, edited.select(at.alias("at")), place, id_of, words_per_edit)
     return exact.union(edited).union(far.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("keep").alias("keep_id"), line_of("keep").alias("keep_line"), "distance"))
 
 

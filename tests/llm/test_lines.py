@@ -3,10 +3,13 @@ from collections import Counter
 
 import numpy as np
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm.lines import NEAR_WORDS, drop_duplicate_lines, duplicate_lines, within, within_one
+from corpuslens.llm import lines
+from corpuslens.llm.kernels import words
+from corpuslens.llm.lines import NEAR_WORDS, _sketches, drop_duplicate_lines, duplicate_lines, within, within_one
 
 from ..conftest import TINY
 
@@ -176,3 +179,53 @@ def test_a_passage_of_many_unlike_lines(spark, spread):
     got = duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words_per_edit=20).collect()
     assert {(r.id, 1 if r.distance == 1 else None) for r in got} == {(x[0], x[2]) for x in brute(rows, 20)}
     assert {r.distance for r in got} >= {2, 3, 4}
+
+
+def test_sketches_count_words():
+    """A phrase that is repeated an even number of times is not the same as any other that is."""
+    w = next(words(pa.array(["a b c d " * 10, "e f g h " * 10, "a b c d " * 9 + "a b c x"])))
+    s = _sketches(w, np.arange(3)).view(np.uint64)
+    odd = [[int(np.bitwise_count(x ^ y).sum()) for y in s] for x in s]
+    assert odd[0][1] > 60 and odd[0][2] <= 2
+
+
+@pytest.fixture
+def staged(monkeypatch):
+    """What duplicate_lines writes, by label."""
+    seen, write = {}, lines.stage
+
+    def spy(spark, df, label, **options):
+        seen[label] = write(spark, df, label, **options)
+        return seen[label]
+
+    monkeypatch.setattr(lines, "stage", spy)
+    return seen
+
+
+def test_words_are_read_for_pairs_alone(spark, staged):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)]
+    assert duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), words_per_edit=20).count() == 0
+    assert all(df.count() == 0 for label, df in staged.items() if label != "neighbourhoods" and {"words", "x"} & set(df.columns))
+
+
+def test_pairs_are_compared_once(spark, staged):
+    """Copies in which other words have moved: their bags are equal, their distances beyond the bound."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(40):
+        x = [f"w{k}" for k in range(100)]
+        for _ in range(rng.integers(1, 5)):
+            x.insert(rng.integers(99), x.pop(rng.integers(100)))
+        rows.append((i, " ".join(x)))
+    got = duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), words_per_edit=20).collect()
+    assert {(r.id, 1 if r.distance == 1 else None) for r in got} == {(x[0], x[2]) for x in brute(rows, 20)}
+    pairs = [{(r["at"], r["keep"]) for r in staged[label].collect()} for label in ("led-alike", "met")]
+    assert pairs[0] and pairs[1] and not pairs[0] & pairs[1]
+
+
+def test_variants_of_the_other_half_alone(spark, staged):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f x h"), (3, "q a b c r s t u"), (4, "v a b c r s t u"), (5, "b c e f g h i"), (6, "b c e z f g h i")]
+    got = duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert shape(got) == brute(rows) == {(2, 0, 1), (4, 0, 1), (6, 0, 1)}
+    assert all(len(r.variants) <= len(r.words) // 2 + 1 for r in staged["neighbourhoods"].collect())
