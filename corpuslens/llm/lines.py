@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bitmap, free_names, in_bitmap, join_salted, stage
+from .common import arrow_map, bitmap, free_names, in_bitmap, join_keyed, join_salted, stage
 from .kernels import Spans, Words, chunks, mix, run_hashes, words_of
 
 NEAR_WORDS = 6
@@ -48,7 +48,7 @@ _LONGS = [f"s{i}" for i in range(BITS // 64)]
 _SALT = np.uint64(0x51ED270B9F1A3C25)
 
 
-def _line_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Words, Spans]]:
+def _line_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
     """Of each chunk: row of the batch and number in its text for every line, and the lines' words."""
     for rows, raw, offsets in chunks(column):
         breaks = np.flatnonzero(raw == 10) + 1
@@ -56,8 +56,7 @@ def _line_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Word
         # an empty text shares its offset with the next one, so texts are counted apart from places
         text = np.sort(np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1)), kind="stable")
         number = np.arange(len(text)) - np.searchsorted(text, text)
-        w = words_of(rows, raw, np.append(starts, len(raw)))
-        yield text + rows.start, number, w, Spans(w.hashes)
+        yield text + rows.start, number, words_of(rows, raw, np.append(starts, len(raw)))
 
 
 def _hashed(w: Words, s: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +84,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, near_words: int = N
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
-        for text, number, w, s in _line_words(batch.column(1)):
+        for text, number, w in _line_words(batch.column(1)):
+            s = Spans(w.hashes)
             h1, h2, size = _hashed(w, s)
             a, b = w.first[:-1], w.first[1:]
             halves = []
@@ -112,7 +112,8 @@ def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, wanted: DataFra
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = _rows_in(bits.value[0], batch)
         key = batch.column(0).to_numpy()
-        for text, number, w, s in _line_words(batch.column(1)):
+        for text, number, w in _line_words(batch.column(1)):
+            s = Spans(w.hashes)
             h1, h2, size = _hashed(w, s)
             p = _place_hash(key[text], number)
             head, tail = in_bitmap(bits.value[1], p), in_bitmap(bits.value[2], p)
@@ -226,18 +227,18 @@ def _anchors(w: Words, lines: np.ndarray, windows: np.ndarray) -> tuple[np.ndarr
 
 
 def _anchor_rows(docs: DataFrame, id_col: str, text_col: str, least: int, windows: np.ndarray, firsts: DataFrame) -> DataFrame:
-    """(anchor, p): anchors of lines of ``least`` or more words, of equal lines only the earliest and a few others."""
+    """(anchor): the distinct anchors of each line of ``least`` or more words, of equal lines only the earliest and a few others."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(firsts, "p"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
-        for text, number, w, _ in _line_words(batch.column(1)):
+        for text, number, w in _line_words(batch.column(1)):
             p = _place_hash(key[text], number)
-            line, anchor, _, _ = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value, p)), windows)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(p[line].view(np.int64))], ["anchor", "p"])
+            _, anchor, _, _ = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value, p)), windows)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
 
     ids = docs[id_col].cast("long")
-    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "anchor long, p long")
+    return arrow_map(docs.where(ids.isNotNull()).select(ids.alias("id"), docs[text_col].alias("text")), run, "anchor long")
 
 
 def _sketches(w: Words, lines: np.ndarray) -> np.ndarray:
@@ -262,7 +263,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, least: int, windows:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
-        for text, number, w, _ in _line_words(batch.column(1)):
+        for text, number, w in _line_words(batch.column(1)):
             p = _place_hash(key[text], number)
             line, anchor, lo, hi = _anchors(w, np.flatnonzero((np.diff(w.first) >= least) & in_bitmap(bits.value[0], p)), windows)
             hit = in_bitmap(bits.value[1], anchor)
@@ -294,7 +295,7 @@ def _words_at(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = _rows_in(bits.value[0], batch)
         key = batch.column(0).to_numpy()
-        for text, number, w, _ in _line_words(batch.column(1)):
+        for text, number, w in _line_words(batch.column(1)):
             pick = np.flatnonzero(in_bitmap(bits.value[1], _place_hash(key[text], number)))
             n = w.first[pick + 1] - w.first[pick]
             words = _runs(w.hashes[_ragged(w.first[pick], n)], n)
@@ -366,7 +367,7 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
     least = 2 * words_per_edit - 2  # of the shorter line, where the longer one has two edits
     windows = _windows(words_per_edit)
     wanted = stage(spark, classes.where(F.col("size") >= least).select(F.col("rep").alias("at"), "p"), "long-lines", narrow=True)
-    shared = _anchor_rows(docs, id_col, text_col, least, windows, wanted).groupBy("anchor").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("anchor")
+    shared = _anchor_rows(docs, id_col, text_col, least, windows, wanted).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = stage(spark, shared, "anchors", narrow=True)
     drawn = stage(spark, _anchored(docs, id_col, text_col, least, windows, wanted, shared).withColumn("at", place(F.col("id"), F.col("line"))).drop("id", "line"), "anchored")
     near = drawn.join(wanted, "at", "left_semi").dropDuplicates(["at"]).join(settled.withColumn("done", F.lit(True)), "at", "left")
@@ -393,7 +394,7 @@ def _far(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, settle
     firsts = near.select("at", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("at").alias("keep"), F.max("at").alias("last"), F.count("*").alias("n")).where("keep <> last")
     firsts = stage(spark, firsts.select("anchor", "keep", "n"), "first-anchors", narrow=True)
     open_ = near.where(~F.col("done"))
-    led = join_salted(open_.select("at", F.explode("anchors").alias("anchor")), firsts.drop("n"), "anchor", "at")
+    led = join_keyed(open_.select("at", F.explode("anchors").alias("anchor")), firsts, ["anchor"], "n")
     led = stage(spark, led.where("keep < at").select("at", "keep").distinct(), "led", narrow=True)
     led = join_salted(led, other.withColumnRenamed("o_at", "keep"), "keep", "at").join(thin, "at").where(alike).select("at", "keep", "p", "o_p")
     led = stage(spark, led, "led-alike", narrow=True)
@@ -448,7 +449,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = exact.select(id_of("at").alias("id"), line_of("at").alias("line"), id_of("rep").alias("keep_id"), line_of("rep").alias("keep_line"), F.lit(0).alias("distance"))
 
     halves = classes.where(F.col("size") >= near_words).select("h1", F.posexplode(F.array("b0", "b1", "b2", "b3")).alias("side", "half")).where("half is not null")
-    met = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
+    # a class has each of its halves once
+    met = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     partners = halves.join(met, "half").groupBy("h1").agg(*[F.max(F.col("side") % 2 == k).alias(side) for k, side in enumerate(("heads", "tails"))])
     partners = stage(spark, partners, "line-candidates", narrow=True)
     wanted = stage(spark, classes.join(partners, "h1").select("h1", "h2", "rep", "p", id_of("rep").alias("id"), "heads", "tails"), "wanted-lines", narrow=True)
@@ -460,7 +462,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     swaps = changed.join(first, "key").where("at <> keep").select("at", "keep")
     shorter = near.select("at", F.explode(F.array_distinct("variants")).alias("key"))
     whole = near.select(F.col("h1").alias("key"), F.col("at").alias("whole"))
-    cut = shorter.join(whole, "key")
+    cut = stage(spark, shorter.join(whole, "key").select("at", "whole"), "cut-lines", narrow=True)
     # the whole line repeats the earliest that holds it and a word more; each longer line repeats the whole line
     least = cut.groupBy("whole").agg(F.min("at").alias("keep")).select(F.col("whole").alias("at"), "keep")
     pairs = swaps.union(least.where("keep < at")).union(cut.where("whole < at").select("at", F.col("whole").alias("keep"))).distinct()
