@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT, AuditConfig
 from .js import FileFacts, JsSyntaxError, inspect, parse
 from .operators.graph import reachable
-from .operators.staging import cut
+from .operators.staging import cut, spread
 
 _USE = [("line", pa.int32()), ("api", pa.string()), ("literals", pa.list_(pa.string())), ("snippet", pa.string())]
 _LISTS = {
@@ -47,6 +47,8 @@ MANIFEST_SCHEMA = (
 )
 # How a specifier without extension is completed, in this order.
 SUFFIXES = ("", ".js", ".cjs", ".mjs", ".json", "/index.js", "/index.cjs", "/index.mjs")
+#: Files, and bytes of source, whose facts make one Arrow batch: a batch costs more than the parse of a small file.
+BATCH, BATCH_BYTES = 512, 1 << 20
 
 
 def joined(folder: str, specifier: str) -> str | None:
@@ -73,14 +75,23 @@ def file_row(pkg_id: str, path: str, content: bytes) -> dict:
 
 def parsed_files(files: DataFrame) -> DataFrame:
     """FILE_SCHEMA for each source file. Large bundles are skewed, so files are dealt anew before they are parsed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pkg_id, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pylist([file_row(pkg_id, path, content)], _FILE)
-
     sources = files.where("kind = 'source'").select("pkg_id", "path", "content")
-    return sources.repartition("pkg_id", "path").mapInArrow(run, FILE_SCHEMA)
+    return spread(sources, "pkg_id", "path").mapInArrow(file_batches, FILE_SCHEMA)
+
+
+def file_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pkg_id, path, content) parsed, in batches of BATCH files or BATCH_BYTES of source."""
+    rows, size = [], 0
+    for batch in batches:
+        for pkg_id, path, content in zip(*batch.columns, strict=True):
+            code = content.as_py()
+            rows.append(file_row(pkg_id.as_py(), path.as_py(), code))
+            size += len(code)
+            if len(rows) >= BATCH or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, _FILE)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _FILE)
 
 
 def _strict(text: str) -> dict:

@@ -1,4 +1,4 @@
-"""Lineage cuts: tables written once to the folder that all executors share."""
+"""How work is laid out: rows dealt to tasks, and lineage cuts, tables written once to the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by the keys to as many tasks as the session has shuffle partitions.
+
+    The number is named because Spark merges partitions of few bytes otherwise, however long Python takes for their rows.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: computed by one job, and a lost executor costs no recomputation."""
     spark = df.sparkSession
