@@ -311,8 +311,8 @@ SELECT r.source, count(*) AS reached FROM r JOIN net ON net.node = r.node GROUP
 def secret_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = transitions(spark, sf_dir)
     peak = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.max("value").alias("m"))
-    secret = nodes(edges).join(peak.where("m > 300"), "node", "left_semi")
-    return graph.closure(edges, secret).join(peak.where("m < 200").select("node"), "node").groupBy("source").agg(F.count("*").alias("reached"))
+    peak = cut(nodes(edges).join(peak, "node"))
+    return graph.reach_counts(edges, peak.where("m > 300"), peak.where("m < 200"))
 
 
 # --- names, literals, digests ----------------------------------------------------------------------------------------

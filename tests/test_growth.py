@@ -1,9 +1,13 @@
 """How work grows: steps that were one task, or more than the input, over larger tables."""
 
+import random
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuslens.facts import BATCH, BATCH_BYTES, file_batches, parsed_files
+from corpuslens.operators import graph
 
 
 def test_small_files_are_dealt_to_many_tasks(spark):
@@ -19,3 +23,33 @@ def test_facts_leave_in_batches():
     assert [b.num_rows for b in file_batches(iter([batch(BATCH, b"eval(x);"), batch(1, b"1;")]))] == [BATCH, 1]
     assert [b.num_rows for b in file_batches(iter([batch(2, b"1;" + b" " * BATCH_BYTES)]))] == [1, 1]
     assert list(file_batches(iter([batch(0, b"")]))) == []
+
+
+def test_reach_counts_equal_walks(spark):
+    rng = random.Random(3)
+    for size, links in ((1, 0), (12, 9), (30, 28), (30, 45), (40, 160)):
+        edges = list({(rng.randrange(size), rng.randrange(size)) for _ in range(links)})
+        sources, targets = [n for n in range(size) if n % 3 < 2], [n for n in range(size) if n % 4]
+        expected = {}
+        for s in sources:
+            seen, stack = set(), [d for a, d in edges if a == s]
+            while stack:
+                if (n := stack.pop()) not in seen:
+                    seen.add(n)
+                    stack += [d for a, d in edges if a == n]
+            if met := len(seen & set(targets)):
+                expected[s] = met
+        for parts in (1, 3):
+            total = Counter()
+            for part in range(parts):
+                total.update(graph._counted(rng.sample(edges, len(edges)), sources, targets, part, parts))
+            assert dict(total) == expected
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    ends = frame([(s,) for s in sources], "node long"), frame([(t,) for t in targets], "node long")
+    assert {r.source: r.reached for r in graph.reach_counts(frame(edges, "src long, dst long"), *ends).collect()} == expected
+
+
+def test_reach_counts_make_no_pairs():
+    """A circle of 20 000 nodes has 400 million pairs."""
+    n = 20_000
+    assert graph._counted([(i, (i + 1) % n) for i in range(n)], list(range(n)), list(range(n)), 0, 1) == dict.fromkeys(range(n), n)
