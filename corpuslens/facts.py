@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT, AuditConfig
 from .js import FileFacts, JsSyntaxError, inspect, parse
 from .operators.graph import reachable
-from .operators.staging import cut, spread
+from .operators.staging import cut, merged, spread
 
 _USE = [("line", pa.int32()), ("api", pa.string()), ("literals", pa.list_(pa.string())), ("snippet", pa.string())]
 _LISTS = {
@@ -199,7 +199,7 @@ def resolved(wanted: DataFrame, paths: DataFrame) -> DataFrame:
     tries = wanted.where("base is not null").select("*", F.posexplode(F.array(*map(F.lit, SUFFIXES))).alias("_rank", "_suffix"))
     # "x" + "/index.js" is index.js in the root for an empty base
     path = F.regexp_replace(F.concat("base", "_suffix"), "^/", "")
-    hit = tries.withColumn("_path", path).join(paths.select("pkg_id", F.col("path").alias("_path")).distinct(), ["pkg_id", "_path"])
+    hit = tries.withColumn("_path", path).join(merged(paths.select("pkg_id", F.col("path").alias("_path")).distinct()), ["pkg_id", "_path"])
     return hit.groupBy(*keys).agg(F.min_by("_path", "_rank").alias("path"))
 
 
@@ -214,13 +214,13 @@ def analyze(files: DataFrame, config: AuditConfig = DEFAULT) -> Analysis:
     based = _based(declared, "hint")
     landed = cut(resolved(based, paths))
     unresolved = based.join(landed.select("pkg_id", "hint"), ["pkg_id", "hint"], "left_anti").select("pkg_id", "hint").distinct()
-    entries = landed.select("pkg_id", "path").join(sources, ["pkg_id", "path"], "left_semi").select("pkg_id", F.col("path").alias("node")).distinct()
+    entries = landed.select("pkg_id", "path").join(merged(sources), ["pkg_id", "path"], "left_semi").select("pkg_id", F.col("path").alias("node")).distinct()
     refs = parsed.select("pkg_id", F.col("path").alias("src"), F.explode("imports").alias("i")).select("pkg_id", "src", "i.specifier", "i.base")
     direct = refs.where("specifier like '.%'").select("pkg_id", "src", "base")
     mapped = refs.where("specifier like '#%'").join(own.select("pkg_id", F.explode("import_map").alias("specifier", "target")), ["pkg_id", "specifier"])
     through = _based(mapped.select("pkg_id", "src", "target"), "target").select("pkg_id", "src", "base")
     linked = resolved(direct.union(through).distinct(), paths).select("pkg_id", "src", F.col("path").alias("dst"))
-    linked = cut(linked.join(sources.withColumnRenamed("path", "dst"), ["pkg_id", "dst"], "left_semi").select("pkg_id", "src", "dst").distinct())
+    linked = cut(linked.join(merged(sources.withColumnRenamed("path", "dst")), ["pkg_id", "dst"], "left_semi").select("pkg_id", "src", "dst").distinct())
     seen = reachable(linked, entries, ("pkg_id",))
     return Analysis(
         packages=packages,
@@ -236,8 +236,8 @@ def analyze(files: DataFrame, config: AuditConfig = DEFAULT) -> Analysis:
         entries=entries,
         unresolved=unresolved,
         reachable=seen,
-        edges=linked.join(seen.withColumnRenamed("node", "src"), ["pkg_id", "src"], "left_semi"),
-        unreachable=sources.join(seen.withColumnRenamed("node", "path"), ["pkg_id", "path"], "left_anti"),
+        edges=linked.join(merged(seen.withColumnRenamed("node", "src")), ["pkg_id", "src"], "left_semi"),
+        unreachable=sources.join(merged(seen.withColumnRenamed("node", "path")), ["pkg_id", "path"], "left_anti"),
     )
 
 

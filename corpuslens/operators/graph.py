@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import cut
+from .staging import cut, merged
 
 HOPS = 4
 #: Steps of one key's walks (edges, for each source) that one task takes; some 200 bytes of memory each at most.
@@ -42,9 +42,9 @@ def _walk(edges: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
     while not fronts[-1].isEmpty():
         hops = [fronts[-1]]
         for _ in range(HOPS):
-            hops.append(hops[-1].withColumnRenamed("node", "src").join(edges, [*on, "src"]).select(*keys, F.col("dst").alias("node")).distinct())
+            hops.append(hops[-1].withColumnRenamed("node", "src").join(merged(edges), [*on, "src"]).select(*keys, F.col("dst").alias("node")).distinct())
         met = reduce(DataFrame.union, hops[1:]).distinct()
-        fronts.append(cut(met.join(reduce(DataFrame.union, fronts), [*keys, "node"], "left_anti")))
+        fronts.append(cut(met.join(merged(reduce(DataFrame.union, fronts)), [*keys, "node"], "left_anti")))
     return reduce(DataFrame.union, fronts)
 
 
@@ -86,7 +86,7 @@ def closure(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = ()) ->
     """(keys, source, node): what each source reaches by one or more edges; itself only by a cycle."""
     key = list(keys)
     tagged = sources.select(*key, F.col("node").alias("source")).distinct()
-    first = tagged.join(edges.select(*key, F.col("src").alias("source"), F.col("dst").alias("node")), [*key, "source"])
+    first = tagged.join(merged(edges.select(*key, F.col("src").alias("source"), F.col("dst").alias("node"))), [*key, "source"])
     return _walk(edges, first, [*key, "source"])
 
 

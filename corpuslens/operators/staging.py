@@ -29,6 +29,14 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is never broadcast: one for a file or a pair of files.
+
+    Spark goes by the size of a table's files, and paths and facts compress so well that a driver would run out of memory.
+    """
+    return rows.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: computed by one job, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ from ..facts import Analysis, by_locale, text_key
 from ..functions import pick, sha256_id
 from ..functions.hosts import endpoint_of, host_of
 from ..operators.graph import closure
+from ..operators.staging import merged
 from .base import evidence, finding, subject
 
 Parts = tuple[list[DataFrame], DataFrame]
@@ -134,9 +135,9 @@ def secret_adjacent(a: Analysis, c: AuditConfig) -> Parts:
     holders = reads.select("pkg_id", F.col("file").alias("node")).distinct()
     reach = closure(a.edges, holders, ("pkg_id",)).select("pkg_id", "source", "node").union(holders.select("pkg_id", F.col("node").alias("source"), "node")).distinct()
     nets = a.nets.select("pkg_id", F.col("file").alias("node"), F.col("ord").alias("net_ord"), F.col("line").alias("net_line"), "api", "literals")
-    met = reach.join(nets, ["pkg_id", "node"])
+    met = reach.join(merged(nets), ["pkg_id", "node"])
     two = reads.withColumn("k", F.row_number().over(Window.partitionBy("pkg_id", "file").orderBy("ord"))).where("k <= 2").withColumnRenamed("file", "source")
-    pairs = met.join(two, ["pkg_id", "source"])
+    pairs = met.join(merged(two), ["pkg_id", "source"])
     what = pick(F.col("cap"), {"env": "process.env", "homedir": "the user home directory"}, "a credential-like file")
     note = F.format_string("reads %s; %s in %s:%d is statically reachable from here", what, "api", "node", "net_line")
     order = Window.partitionBy("pkg_id").orderBy(text_key("source"), "net_ord", "k")
@@ -260,7 +261,7 @@ def undeclared_fs_write(a: Analysis, c: AuditConfig) -> Parts:
 def only_imported(a: Analysis, pattern: str, uses: DataFrame) -> DataFrame:
     """(pkg_id, path, module): files that import such a module and hold no use."""
     files = a.files.select("pkg_id", "path", F.filter("externals", lambda e: e.rlike(pattern)).alias("m")).where(F.size("m") > 0)
-    return files.join(uses.select("pkg_id", F.col("file").alias("path")).distinct(), ["pkg_id", "path"], "left_anti").select("pkg_id", "path", F.element_at("m", 1).alias("module"))
+    return files.join(merged(uses.select("pkg_id", F.col("file").alias("path")).distinct()), ["pkg_id", "path"], "left_anti").select("pkg_id", "path", F.element_at("m", 1).alias("module"))
 
 
 @rule("perm.subprocess-spawn", "spawn", "import-only")

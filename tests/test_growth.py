@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpuslens.facts import BATCH, BATCH_BYTES, file_batches, parsed_files
+from corpuslens.facts import BATCH, BATCH_BYTES, analyze, file_batches, parsed_files
 from corpuslens.operators import graph
 
 
@@ -53,3 +53,12 @@ def test_reach_counts_make_no_pairs():
     """A circle of 20 000 nodes has 400 million pairs."""
     n = 20_000
     assert graph._counted([(i, (i + 1) % n) for i in range(n)], list(range(n)), list(range(n)), 0, 1) == dict.fromkeys(range(n), n)
+
+
+def test_sides_of_a_row_for_each_file_are_never_broadcast(spark):
+    rows = [("p", f"{i}.js", "source", f'require("./{i + 1}");'.encode(), None, None) for i in range(9)] + [("p", "package.json", "manifest", b'{"main":"3.js"}', None, None)]
+    a = analyze(spark.createDataFrame(rows, "pkg_id string, path string, kind string, content binary, reason string, detail string"))
+    for frame, expected in ((a.edges, 5), (a.unreachable, 3)):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert frame.count() == expected
