@@ -16,6 +16,7 @@ from .. import render
 from ..canonical import profile_digest
 from ..config import DEFAULT
 from ..diff import compare, diff_documents
+from ..operators.staging import merged, spread
 from ..validate import issues_of, validate_reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +37,10 @@ def query(sql: str):
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of reports to be, dealt before they become documents: the file of many customers may be one split."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS nat", "n_regionkey AS reg")
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "concat('r', lpad(cast(c_custkey AS string), 8, '0')) AS doc_id", "c_name AS name", "c_mktsegment AS seg", "c_nationkey AS nat")
-    return rows.join(nation, "nat")
+    return spread(rows.join(nation, "nat"), "c_custkey")
 
 
 def by(column: str, cases: dict, default: str) -> Column:
@@ -224,7 +226,7 @@ _SIDE = "'corpuslens 0.1.0 · grade C · pack · sha256:000000000…'"
 def comparison_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person reads of comparisons with changes of every kind."""
     made = diff_documents(*compare(*pairs(spark, sf_dir)))
-    rows = made.select("pair_id", render.diff_text(F.col("diff")).alias("text")).join(customers(spark, sf_dir).where("seg = 'HOUSEHOLD' and reg = 0").select(F.col("doc_id").alias("pair_id")), "pair_id", "left_semi")
+    rows = made.select("pair_id", render.diff_text(F.col("diff")).alias("text")).join(merged(customers(spark, sf_dir).where("seg = 'HOUSEHOLD' and reg = 0").select(F.col("doc_id").alias("pair_id"))), "pair_id", "left_semi")
     return rows.where("text is not null")
 
 
@@ -238,5 +240,6 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customers(spark, sf_dir).select("doc_id", document(context=context(status=by("reg", {1: '"partial"'}, '"complete"'))).alias("json"))
     evidence = "evidence array<struct<file:string,line:int,snippet:string,note:string>>"
     schema = f"target struct<kind:string,specifier:string>, summary struct<grade:string,counts:struct<critical:int,high:int,medium:int,low:int,info:int>>, findings array<struct<id:string,title:string,severity:string,confidence:string,{evidence.replace(' ', ':', 1)},remediation:string>>, `{KEY}` struct<coverage:struct<status:string>>"
-    r = F.from_json("json", schema)
+    # a column of its own, or each of the text's fields is parsed from the document again
+    rows, r = rows.select("doc_id", F.from_json("json", schema).alias("r")), F.col("r")
     return rows.select("doc_id", render.summary_text(r).alias("text"), render.badge(r)["message"].alias("message"))

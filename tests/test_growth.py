@@ -6,8 +6,12 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpuslens import diff, validate
 from corpuslens.facts import BATCH, BATCH_BYTES, analyze, file_batches, parsed_files
 from corpuslens.operators import graph
+from corpuslens.plans import contract
+
+from .conftest import TINY
 
 
 def test_small_files_are_dealt_to_many_tasks(spark):
@@ -62,3 +66,29 @@ def test_sides_of_a_row_for_each_file_are_never_broadcast(spark):
         plan = frame._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         assert frame.count() == expected
+
+
+def test_reports_are_dealt_before_they_are_made(spark):
+    assert contract.customers(spark, TINY).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_documents_are_parsed_once_for_their_text(spark):
+    plan = contract.report_text(spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_sides_of_comparisons_are_never_broadcast(spark):
+    """Nor joined to their own verdicts: a document of a pair is read in one pass."""
+    pairs, reports = contract.pairs(spark, TINY)
+    one = spark.createDataFrame([("a", "{}")], "doc_id string, json string")
+    assert "Join" not in diff.read_sides(one)._jdf.queryExecution().optimizedPlan().toString()
+    made = diff.diff_documents(*diff.compare(pairs, reports))
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_context_is_checked_once(monkeypatch):
+    seen = []
+    real = validate.context_state
+    monkeypatch.setattr(validate, "context_state", lambda *a: seen.append(a) or real(*a))
+    assert validate.check("{}")[2] == "absent" and validate.check("[]")[2] == "absent" and len(seen) == 1
+    assert validate.check(f'{{"{contract.KEY}":{{"version":2}}}}')[2] == "unsupported" and len(seen) == 2
